@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sharding
+from . import license_scan, quality, sharding, simhash
 from .common import read_table
 
 
@@ -23,9 +23,28 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on the rows whose labels may be learned."""
+    labels = read_table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    return quality.fit(docs, labels)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
