@@ -40,9 +40,9 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4",)),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("licensed under cc by nc 4",)),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("licensed under cc by sa 4",)),
+    ("cc-by-4.0", "licensed under cc by 4 0", ("licensed under cc by 4",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
 )
 RARE, MIN_RARE, MIN_COVER = 3, 2, 0.8
@@ -51,7 +51,7 @@ _SHIFT = 1 << 40
 
 def index(templates=TEMPLATES, rare: int = RARE) -> list[tuple[str, int, int]]:
     """Postings (word, template number, position) of each template's ``rare``
-    words of highest IDF; ties go to the earlier word."""
+    words of highest IDF; ties go to the longer, then the earlier word."""
     words = [t.split() for _, t, _ in templates]
     df: dict[str, int] = {}
     for ws in words:
@@ -60,7 +60,7 @@ def index(templates=TEMPLATES, rare: int = RARE) -> list[tuple[str, int, int]]:
     out = []
     for t, ws in enumerate(words):
         first = {w: i for i, w in reversed(list(enumerate(ws)))}
-        best = sorted(first, key=lambda w: (-math.log(len(words) / df[w]), first[w]))[:rare]
+        best = sorted(first, key=lambda w: (-math.log(len(words) / df[w]), -len(w), first[w]))[:rare]
         out += [(w, t, i) for i, w in enumerate(ws) if w in best]
     return out
 
@@ -75,6 +75,13 @@ def key_positions(template: str, phrases) -> list[int]:
     return sorted(need)
 
 
+def gates(templates=TEMPLATES, base=BASE) -> list[str]:
+    """Words of which a text has one if any template or base phrase can stand:
+    the longest mandatory word of each, without those that hold another."""
+    longest = {max((t.split()[i] for i in key_positions(t, p)), key=len) for _, t, p in templates} | {max(p.split(), key=len) for p, _ in base}
+    return sorted(w for w in longest if not any(v != w and v in w for v in longest))
+
+
 def _candidates(words: Column, postings, need: dict[int, int]) -> Column:
     """Distinct template * 2**40 + offset (shifted by 2**20) that at least
     ``need[template]`` rare words agree on."""
@@ -146,12 +153,14 @@ def scan(df: DataFrame, text: str = "text", templates=TEMPLATES, base=BASE, rare
     else 0.0)."""
     postings = index(templates, rare)
     need = {t: min(min_rare, sum(1 for p in postings if p[1] == t)) for t in range(len(templates))}
-    anchors = sorted({w for w, _, _ in postings} | {p.split()[-1] for p, _ in base})
     raw = F.coalesce(F.col(text), F.lit(""))
-    # Only texts with an index word (in any letter case) are split into words.
-    rarest = "(?i)(?:" + "|".join(anchors) + ")"
-    words = F.when(raw.rlike(rarest), F.regexp_extract_all(lower_ascii(raw), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    # Only texts that hold a gate word are split into words; lower() may match more, never less.
+    gate = F.lit(False)
+    for g in gates(templates, base):
+        gate = gate | F.col("__low").contains(g)
+    words = F.when(gate, F.regexp_extract_all(lower_ascii(raw), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     own = [c for c in df.columns if c not in {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}]
+    df = df.withColumn("__low", F.lower(raw))  # a step of its own: lowered once, not once a gate
     df = df.select(*[F.col(f"`{c}`") for c in own], F.regexp_count(raw, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), words.alias("__w"))
 
     w = F.col("__w")

@@ -10,7 +10,7 @@ from .common import read_table
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
