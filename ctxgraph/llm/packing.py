@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,14 +162,15 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, in
 
 def tokenise(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, window: int, end: int, ids: bool) -> DataFrame:
     """A row per piece: full windows and the rest, with CRC; the ids of rests
-    (of all pieces with ``ids``)."""
+    (of all pieces with ``ids``); the task, and the full window's number in it."""
     i_key, i_text = docs.columns.index(key), docs.columns.index(text)
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")), T.StructField("ids", T.BinaryType())])
+    numbers = ("start", "length", "ids_crc32", "doc_tokens", "__task", "__nth")
+    schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in numbers), T.StructField("ids", T.BinaryType())])
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = Encoder(ranks, pattern)
+        encode, task, nth = Encoder(ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             where, rows = [], []
             for i, t in enumerate(batch.column(i_text)):
@@ -176,75 +178,82 @@ def tokenise(docs: DataFrame, ranks: str, pattern: str, key: str, text: str, win
                 n = len(body) // 4
                 for s in range(0, n, window):
                     piece = body[4 * s : 4 * (s + window)]
+                    whole = len(piece) == 4 * window
                     where.append(i)
-                    rows.append((s, len(piece) // 4, zlib.crc32(piece), n, piece if ids or len(piece) < 4 * window else None))
+                    rows.append((s, len(piece) // 4, zlib.crc32(piece), n, task, nth, piece if ids or not whole else None))
+                    nth += whole
             column = batch.column(i_key).take(pa.array(where, pa.int64()))
-            yield pa.RecordBatch.from_arrays([column, *(pa.array([r[j] for r in rows], pa.int64()) for j in range(4)), pa.array([r[4] for r in rows], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([column, *(pa.array([r[j] for r in rows], pa.int64()) for j in range(6)), pa.array([r[6] for r in rows], pa.binary())], names=schema.names)
 
-    return docs.select(*docs.columns).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _running(counts: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """``counts`` (a row a task or a length) with the sum of the rows before."""
+    before = f"sum({amount}) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return counts.withColumn(out, F.coalesce(F.expr(before), F.lit(0)))
 
 
 def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end: int = END, ids: bool = False) -> DataFrame:
     """Pieces of ``docs``: key, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with ``ids`` their token ids (little-endian
-    unsigned 32 bits)."""
+    unsigned 32 bits).  Other columns of ``docs`` are not kept."""
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "packing")
     pieces = tokenise(docs.select(key, text), ranks, pattern, key, text, window, end, ids)
     pieces = scratch.keep(pieces.withColumn("__uid", F.monotonically_increasing_id()), "zstd")
     out = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else [])]
-    # Full windows are sequences of their own.
+
+    # Full windows are sequences of their own, numbered by one count a task.
     full = pieces.where(F.col("length") == window)
-    part = F.shiftright("__uid", 33)
-    n_full, n_all = full.count(), pieces.count()
-    # Rests: rank within their length, then a slot.
+    tasks = _running(full.groupBy(F.col("__task").alias("__t")).agg(F.count(F.lit(1)).alias("__n")), "__t", "__n", "__before")
+    full = full.join(F.broadcast(tasks), F.col("__task") == F.col("__t"))
+    full = full.withColumns({"sequence_id": F.col("__before") + F.col("__nth"), "offset": F.lit(0).cast("long")}).select(*out)
+
+    # Rests: ranked within their length, then given the slot of that rank.
     rests = pieces.where(F.col("length") < window)
-    histogram = np.zeros(window + 1, np.int64)
-    for length, n in rests.groupBy("length").count().collect():  # at most window - 1 rows
-        histogram[length] = n
+    histogram, n_full = np.zeros(window + 1, np.int64), 0
+    for length, n in pieces.groupBy("length").count().collect():  # a row a length, window at most
+        if length == window:
+            n_full = n
+        else:
+            histogram[length] = n
     slots = plan(histogram, window)
-    table = spark.createDataFrame(slots, "__l long, __lo long, __hi long, __seq long, __off long")
-    used = np.zeros(window + 1, np.int64)
-    for v, _, hi, _, _ in slots:
-        used[v] = max(used[v], hi)
     n_slots = max((s + hi - lo for _, lo, hi, s, _ in slots), default=0)
-    ranked = scratch.keep(global_rank(rests.select("__uid", "length"), ["__uid"], scratch, group="length", out="__r"))
-    # Each length's ranks are cut into runs; the run table has at most one row per combination and part.
+    table = spark.createDataFrame(slots, "__l long, __lo long, __hi long, __seq long, __off long")
+    ranked = global_rank(rests.select("__uid", "length"), ["__uid"], scratch, group="length", out="__r")
+    # A rank lies in one slot; the table has a few rows a combination, whatever the corpus.
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("__l")) & (F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi")), "left")
-    placed = scratch.keep(placed.select("__uid", "length", (F.col("__seq") + F.col("__r") - F.col("__lo")).alias("__s"), F.col("__off").alias("__o")))
-    whole = placed.where("__s is not null").select("__uid", (F.col("__s") + n_full).alias("sequence_id"), F.col("__o").alias("offset"))
-    whole = rests.join(whole, "__uid").select(*out)
-    # What is left: one after the other, longest first, cut where a window ends.
-    loose = placed.where("__s is null").select("__uid", "length", (-F.col("length")).alias("__neg"))
+    placed = scratch.keep(placed.select("__uid", F.col("length").alias("__len"), (F.col("__seq") + F.col("__r") - F.col("__lo") + n_full).alias("sequence_id"), F.col("__off").alias("offset")))
+    whole = rests.join(placed.where("sequence_id is not null"), "__uid").select(*out)
+
+    # Loose rests: one after the other, longest first, cut where a window ends.
+    loose = placed.where("sequence_id is null").select("__uid", "__len", (-F.col("__len")).alias("__neg"))
     loose = global_rank(loose, ["__neg", "__uid"], scratch, out="__r")
-    per = loose.groupBy("length").agg(F.min("__r").alias("__r0"), F.count(F.lit(1)).alias("__n"))
-    # All rests of a length lie side by side: positions follow from one row a length.
-    per = per.withColumn("__p0", F.coalesce(F.expr("sum(length * __n) OVER (ORDER BY length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))).withColumnRenamed("length", "__l")
-    loose = loose.join(F.broadcast(per), F.col("length") == F.col("__l"))
-    loose = loose.select("__uid", (F.col("__p0") + (F.col("__r") - F.col("__r0")) * F.col("length")).alias("__p"))
-    loose = rests.join(loose, "__uid")
+    # All rests of a length lie side by side: places follow from one row a length.
+    per = loose.groupBy(F.col("__len").alias("__l")).agg(F.min("__r").alias("__r0"), F.count(F.lit(1)).alias("__n"))
+    per = _running(per, "__l DESC", "__l * __n", "__p0")
+    loose = loose.join(F.broadcast(per), F.col("__len") == F.col("__l"))
+    loose = loose.select("__uid", (F.col("__p0") + (F.col("__r") - F.col("__r0")) * F.col("__len")).alias("__p"))
+    loose = rests.join(loose, "__uid").select(key, "start", "length", "doc_tokens", "ids", "__p")
     first = n_full + n_slots
-    names = [*out, *(["ids"] if not ids else [])]
-    cut_schema = T.StructType([pieces.schema[c] if c in pieces.columns else T.StructField(c, T.LongType()) for c in names])
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    schema = T.StructType([pieces.schema[key], *(T.StructField(c, T.LongType()) for c in names[1:-1]), T.StructField("ids", T.BinaryType())])
 
     def cut(batches):
         for batch in batches:
             where, rows = [], []
-            cols = {c: batch.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "ids", "__p")}
-            for i, (start, length, n, body, p) in enumerate(zip(*cols.values())):
+            columns = [batch.column(c).to_pylist() for c in ("start", "length", "doc_tokens", "ids", "__p")]
+            for i, (start, length, n, body, p) in enumerate(zip(*columns)):
                 s = 0
                 while s < length:
                     take = min(length - s, window - (p + s) % window)
                     piece = body[4 * s : 4 * (s + take)]
                     where.append(i)
-                    rows.append((start + s, take, zlib.crc32(piece), n, first + (p + s) // window, (p + s) % window, piece))
+                    rows.append((start + s, take, zlib.crc32(piece), n, first + (p + s) // window, (p + s) % window, piece if ids else None))
                     s += take
             column = batch.column(key).take(pa.array(where, pa.int64()))
             yield pa.RecordBatch.from_arrays([column, *(pa.array([r[j] for r in rows], pa.int64()) for j in range(6)), pa.array([r[6] for r in rows], pa.binary())], names=names)
 
-    loose = loose.select(key, "start", "length", "doc_tokens", "ids", "__p").mapInArrow(cut, cut_schema).select(*out)
-    # Full windows are numbered in the order of the table, by one count a file part.
-    sums = full.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    sums = sums.withColumn("__before", F.coalesce(F.expr("sum(__n) OVER (ORDER BY __part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)))
-    return full, sums, whole, loose, out
+    return full.unionByName(whole).unionByName(loose.mapInArrow(cut, schema).select(*out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality, sharding, simhash, suffix
+from . import license_scan, packing, quality, sharding, simhash, suffix
 from .common import read_table
 
 
@@ -45,12 +45,20 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
