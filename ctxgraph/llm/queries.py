@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality, sharding, simhash, suffix
+from . import license_scan, packing, quality, sharding, simhash, suffix, warc
 from .common import read_table
 
 
@@ -40,6 +40,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.dedup(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -57,9 +61,11 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
+    "op8_warc": warc.ORACLE,
 }
