@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality, sharding, simhash, suffix, warc
+from . import decontaminate, license_scan, packing, quality, sharding, simhash, suffix, warc
 from .common import read_table
 
 
@@ -13,6 +13,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select(
@@ -58,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
@@ -67,5 +72,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
+    "op4_decontaminate": decontaminate.oracle(),
     "op8_warc": warc.ORACLE,
 }
