@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, sharding, simhash, suffix, warc
+from . import decontaminate, license_scan, packing, quality, sharding, simhash, suffix, transcripts, warc
 from .common import read_table
 
 
+def op2_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts in mixed styles are made of the table's turns; the roles that
+    parsing recovers stand beside those given."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = transcripts.transcribe(turns)
+    model = transcripts.fit(made.where(transcripts.in_training(F.col("conv_id"))))
+    pieces = transcripts.parse(made, model)
+    return pieces.select(
+        "conv_id", "turn", "segment", "role", "starts", "marker", F.char_length("text").cast("long").alias("n_chars"),
+        F.crc32(F.col("rendered").cast("binary")).alias("rendered_crc32"), (~transcripts.in_training(F.col("conv_id"))).alias("held_out"),
+    )
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -61,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_transcripts": op2_transcripts,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
