@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, quality, sharding, simhash, suffix, transcripts, warc
+from . import decontaminate, license_scan, media, packing, quality, sharding, simhash, suffix, transcripts, warc
 from .common import read_table
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each vector of ``embeddings`` is drawn as one,
+    so near copies among the vectors are edited copies among the pictures."""
+    drawn = media.pictures(read_table(spark, sf_dir, "embeddings"))
+    return media.copies(drawn, "vec_id")
+
+
 def op2_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts in mixed styles are made of the table's turns; the roles that
     parsing recovers stand beside those given."""
@@ -74,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_copies": op1_media_copies,
     "op2_transcripts": op2_transcripts,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,

@@ -212,6 +212,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return components(fingerprints(docs.select(key, text), text), key, radius)
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component of ``docs``: that of the smallest key.
+
+    Of rows repeating a key one stays; a row with a null key stays if its
+    component has no named member."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "simhash-keep")
+    marked = scratch.keep(fingerprints(docs.select(key, text), text))
+    found = scratch.keep(components(marked, key, radius))
+    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), F.col("fp").alias("__fp"))
+    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        kept = scratch.keep(kept)  # its size decides between broadcast and shuffle
+        out = docs.join(kept, docs[key] == kept["__key"], "left_semi")
+    else:  # some id is there twice: its rows are told apart by their fingerprints
+        kept = scratch.keep(kept.distinct())
+        full = fingerprints(docs.withColumn("__text", F.col(text)), "__text")
+        out = full.join(kept, (full[key] == kept["__key"]) & (full["fp"] == kept["__fp"]), "left_semi").select(*docs.columns).dropDuplicates([key])
+    unnamed = docs.where(F.col(key).isNull())
+    if not unnamed.isEmpty():
+        named = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
+        unnamed = fingerprints(unnamed.withColumn("__text", F.col(text)), "__text")
+        out = out.unionByName(unnamed.join(named, F.col("fp") == F.col("__fp"), "left_anti").select(*docs.columns))
+    return out
+
+
 def hex16(fp):
     """A signed long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
