@@ -307,20 +307,35 @@ def _answer_contexts(batches):
     yield _blobs(rows, ["part", "block", "data"])
 
 
-def _answer_suffixes(length: int):
+def _slices(h: np.ndarray, lens: np.ndarray, size: int) -> list[np.ndarray]:
+    """Entries in slices of about ``size`` bytes; equal hashes stay together."""
+    by = np.argsort(h, kind="stable")
+    cum = np.cumsum(lens[by])
+    starts = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
+    want = np.searchsorted(cum, np.arange(size, int(cum[-1]), size))
+    at = np.searchsorted(starts, want)
+    return np.split(by, np.unique(starts[at[at < len(starts)]]))
+
+
+def _answer_suffixes(length: int, slice_bytes: int = 1 << 20):
     def run(batches):
-        part, block, blobs = _gather(batches, ["a", "b", "c"])
+        part, block, blobs = _gather(batches, ["h", "a", "b", "c"])
         if not part:
             return
-        size = np.array([len(x) for x in blobs[1]])
-        ids, lens = np.frombuffer(b"".join(blobs[0]), np.int64), np.frombuffer(b"".join(blobs[1]), np.uint8).astype(np.int64)
-        body = b"".join(blobs[2])
-        windows = lens - length + 1
-        at = np.cumsum(lens) - lens
-        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = covered_windows(body, np.repeat(at, windows) + nth, np.repeat(ids, windows), length)
-        bits = np.where(hit, _U(1) << nth.astype(np.uint64), _U(0))
-        mask = np.add.reduceat(bits, np.cumsum(windows) - windows)
+        size = np.array([len(x) for x in blobs[2]])
+        h, ids = np.frombuffer(b"".join(blobs[0]), np.uint64), np.frombuffer(b"".join(blobs[1]), np.int64)
+        lens = np.frombuffer(b"".join(blobs[2]), np.uint8).astype(np.int64)
+        body = np.frombuffer(b"".join(blobs[3]), np.uint8)
+        begin, mask = np.cumsum(lens) - lens, np.zeros(len(lens), np.uint64)
+        blobs.clear()
+        for own in _slices(h, lens, slice_bytes):  # a few sorts, each of little memory
+            n = lens[own]
+            at, windows = np.cumsum(n) - n, n - length + 1
+            text = body[np.repeat(begin[own] - at, n) + np.arange(n.sum())].tobytes()
+            first = np.cumsum(windows) - windows
+            nth = np.arange(windows.sum()) - np.repeat(first, windows)
+            hit = covered_windows(text, np.repeat(at, windows) + nth, np.repeat(ids[own], windows), length)
+            mask[own] = np.add.reduceat(np.where(hit, _U(1) << nth.astype(np.uint64), _U(0)), first)
         ends = np.cumsum(size)
         rows = [(p, b, mask[e - s : e].tobytes()) for p, b, e, s in zip(part, block, ends, size) if mask[e - s : e].any()]
         yield _blobs(rows, ["part", "block", "data"])
@@ -407,8 +422,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 if hi > lo:
                     at = b.first[pick[lo:hi]]
                     text_ = b"".join(b.body[s:e] for s, e in zip(b.start[at].tolist(), b.stop[at].tolist()))
-                    rows.append((p, name, b.e_id[pick[lo:hi]].tobytes(), (b.stop - b.start)[at].astype(np.uint8).tobytes(), text_))
-            yield _blobs(rows, ["part", "block", "a", "b", "c"])
+                    rows.append((p, name, b.e_hash[pick[lo:hi]].tobytes(), b.e_id[pick[lo:hi]].tobytes(), (b.stop - b.start)[at].astype(np.uint8).tobytes(), text_))
+            yield _blobs(rows, ["part", "block", "h", "a", "b", "c"])
 
     def apply(batches):
         for batch, i, _, b, got in opened(batches):
@@ -446,7 +461,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     one = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_anchors, reply))
     sent = with_answers(base, one).mapInArrow(send_contexts, "part int, block long, a binary, b binary, c binary, d binary")
     two = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_contexts, reply))
-    sent = with_answers(base, one, two).mapInArrow(send_suffixes, "part int, block long, a binary, b binary, c binary")
+    sent = with_answers(base, one, two).mapInArrow(send_suffixes, "part int, block long, h binary, a binary, b binary, c binary")
     three = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_suffixes(length), reply))
     return with_answers([*base, "rest"], one, two, three).mapInArrow(apply, schema)
 
