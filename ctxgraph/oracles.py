@@ -196,5 +196,13 @@ SELECT session_id AS id, array_to_string(arg_max(parts, i), '; ') AS summary FRO
 SELECT CASE WHEN r.nth = 1 THEN 'current' ELSE 'previous' END AS section, o.session_id, o.nth, o.id, o.headline, o.is_stale FROM o JOIN ranked r ON r.id = o.session_id WHERE r.nth = 1 OR (r.nth <= 4 AND o.nth <= 5)""",
     "detect_staleness": "SELECT DISTINCT o.id FROM v_obs o JOIN v_files f ON f.id = o.id % 200 WHERE f.id % 4 = 0 AND f.content_hash <> 'old'",
     "ttl_cleanup": f"SELECT id, session_id FROM v_obs WHERE epoch_us(created_at) >= epoch_us(TIMESTAMP '{NOW}') - CAST(58 AS BIGINT) * 86400000000",
+    "upsert_snapshot": "WITH d AS (SELECT CASE WHEN id % 2 = 0 THEN id ELSE id + 10000000 END AS id, path, 'new' AS content_hash FROM v_files WHERE id % 5 = 0) SELECT id, path, content_hash FROM v_files WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT * FROM d",
+    "cascade_delete": """WITH g AS (SELECT id FROM v_files WHERE id % 4 = 1), n AS (SELECT id FROM v_nodes WHERE file_id IN (SELECT id FROM g))
+SELECT 'files' AS name, count(*) AS n FROM v_files WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'nodes', count(*) FROM v_nodes WHERE file_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'edges', count(*) FROM v_edges WHERE source_node_id NOT IN (SELECT id FROM n) AND target_node_id NOT IN (SELECT id FROM n) UNION ALL SELECT 'refs', count(*) FROM v_refs WHERE source_node_id NOT IN (SELECT id FROM n)""",
+    "html_extract": r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<style[^>]*>')) AS BIGINT) AS styles, CAST(len(regexp_extract_all(html, '<script[^>]*\ssrc=')) + len(regexp_extract_all(html, '<link[^>]*\shref=')) AS BIGINT) AS imports FROM pages""",
+    "env_scan": "SELECT upper(regexp_replace(p_name, '[^A-Za-z]+', '_', 'g')) AS name, count(*) AS files, count(*) AS readers FROM part GROUP BY 1",
+    "api_scan": "SELECT CASE p_partkey % 4 WHEN 0 THEN 'GET /' ELSE 'POST /' END || p_name AS name, count(*) AS files FROM part WHERE p_partkey % 4 IN (0, 1) GROUP BY 1",
+    "change_stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }
 ORACLE_SQL = {k: with_views(v) for k, v in RAW.items()}

@@ -359,3 +359,100 @@ def detect_staleness(v: Views) -> DataFrame:
 def ttl_cleanup(v: Views) -> DataFrame:
     """K10, X24."""
     return memory.ttl(v.v_obs, NOW, 58).select("id", "session_id")
+
+
+# Ingest, extraction, snapshots, streams
+
+
+@query
+def upsert_snapshot(v: Views) -> DataFrame:
+    """Files of which some have new content and some are new."""
+    from .sources.store import upsert
+
+    delta = v.v_files.where("id % 5 = 0").select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10000000).alias("id"), "path", F.lit("new").alias("content_hash"))
+    return upsert(v.v_files.select("id", "path", "content_hash"), delta, ["id"])
+
+
+@query
+def cascade_delete(v: Views) -> DataFrame:
+    """What is left per table when some files go."""
+    from .sources.store import delete_cascade
+
+    left = delete_cascade({"files": v.v_files, "nodes": v.v_nodes, "edges": v.v_edges, "refs": v.v_refs}, v.v_files.where("id % 4 = 1").select("id"))
+    out = None
+    for name, df in left.items():
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def html_extract(v: Views) -> DataFrame:
+    """Links and styles of every page."""
+    from .operators import extract
+
+    files = v.pages.select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
+    nodes, _, refs = extract.tables(extract.extract_files(files))
+    by = nodes.groupBy("file_id").agg(F.count(F.when(F.col("kind") == "module", 1)).alias("styles"), F.count(F.when(F.col("kind") == "import", 1)).alias("imports"))
+    ids = v.pages.select("page_id", F.xxhash64(F.concat(F.lit("page/"), "page_id", F.lit(".html"))).alias("file_id"))
+    return ids.join(by, "file_id", "left").select("page_id", F.coalesce("styles", F.lit(0)).alias("styles"), F.coalesce("imports", F.lit(0)).alias("imports"))
+
+
+def _sources(v: Views) -> DataFrame:
+    """A source file per part, in four languages."""
+    n = F.col("p_name")
+    ident = F.regexp_replace(F.initcap(n), " ", "")
+    env = F.upper(F.regexp_replace(n, "[^A-Za-z]+", "_"))
+    k = F.col("p_partkey") % 4
+    body = F.when(k == 0, F.concat(F.lit("import os\n\ndef make_"), F.regexp_replace(n, " ", "_"), F.lit("(n):\n    if n:\n        load(n)\n    return os.getenv('"), env, F.lit("')\n\n@app.get('/"), n, F.lit("')\ndef show():\n    pass\n")))
+    body = body.when(k == 1, F.concat(F.lit("import { load } from './load';\nexport class "), ident, F.lit(" extends Base {\n  run(a) { return load(process.env."), env, F.lit("); }\n}\nrouter.post('/"), n, F.lit("', run);\n")))
+    body = body.when(k == 2, F.concat(F.lit("use crate::base::Base;\n/// one\npub struct "), ident, F.lit(" { a: i32 }\nimpl Base for "), ident, F.lit(" {\n    fn run(&self) -> String { env::var(\""), env, F.lit("\").unwrap() }\n}\n")))
+    body = body.otherwise(F.concat(F.lit("#include <stdlib.h>\n\nchar *get_"), F.regexp_replace(n, " ", "_"), F.lit("(int a) {\n    /* look */\n    return getenv(\""), env, F.lit("\");\n}\n")))
+    ext = F.when(k == 0, "py").when(k == 1, "ts").when(k == 2, "rs").otherwise("c")
+    lang = F.when(k == 0, "python").when(k == 1, "typescript").when(k == 2, "rust").otherwise("c")
+    return v.part.select("p_partkey", F.concat(F.lit("src/"), "p_partkey", F.lit("."), ext).alias("path"), lang.alias("language"), body.alias("content"))
+
+
+@query
+def env_scan(v: Views) -> DataFrame:
+    """Variables and their readers in a file per part."""
+    from .operators import extract
+
+    nodes, edges, _ = extract.tables(extract.extract_files(_sources(v)))
+    reads = edges.where("kind = 'reads_env'").groupBy("target_node_id").agg(F.count(F.lit(1)).alias("readers"))
+    found = nodes.where("kind = 'env_var'").join(reads, nodes.id == reads.target_node_id, "left")
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("readers", F.lit(0))).alias("readers"))
+
+
+@query
+def api_scan(v: Views) -> DataFrame:
+    """Routes in a file per part."""
+    from .operators import extract
+
+    nodes, _, _ = extract.tables(extract.extract_files(_sources(v)))
+    return nodes.where("kind = 'api_endpoint'").groupBy("name").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def symbol_counts(v: Views) -> DataFrame:
+    """Nodes by kind and refs by kind."""
+    from .operators import extract
+
+    nodes, _, refs = extract.tables(extract.extract_files(_sources(v)))
+    return nodes.groupBy(F.lit("node").alias("what"), "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(refs.groupBy(F.lit("ref").alias("what"), F.col("edge_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def skeletons(v: Views) -> DataFrame:
+    """Three levels of a file per part."""
+    from .operators.skeleton import skeletons as fold
+
+    return fold(_sources(v)).groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.sum("tokens").alias("tokens"))
+
+
+@query
+def change_stream_latest(v: Views) -> DataFrame:
+    """The last event per user, drained as a stream."""
+    from .streaming.changes import latest
+
+    return latest(v.spark, v.folder, "events.parquet", v.events.schema, "user_id", ["ts", "event_id"], ["user_id", "ts", "event_id", "event_type"]).select("user_id", "event_id", "event_type")
