@@ -236,7 +236,8 @@ def pack(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: s
     per = _running(per, "__l DESC", "__l * __n", "__p0")
     loose = loose.join(F.broadcast(per), F.col("__len") == F.col("__l"))
     loose = loose.select("__uid", (F.col("__p0") + (F.col("__r") - F.col("__r0")) * F.col("__len")).alias("__p"))
-    loose = rests.join(loose, "__uid").select(key, "start", "length", "doc_tokens", "ids", "__p")
+    # The same plan at every size: the ids of all rests are dealt out once.
+    loose = rests.join(loose.hint("shuffle_hash"), "__uid").select(key, "start", "length", "doc_tokens", "ids", "__p")
     first = n_full + n_slots
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = T.StructType([pieces.schema[key], *(T.StructField(c, T.LongType()) for c in names[1:-1]), T.StructField("ids", T.BinaryType())])
