@@ -8,8 +8,8 @@ divided by the segment's score against itself, so one threshold (the share of a
 segment's weight that a passage must hold) serves all segments.
 
 Retrieval is exact at the threshold.  A segment's commonest words, as many as
-stay below the threshold together, cannot carry it alone; their postings are
-left to scoring.  For all passages of a batch at once, block maxima of the other
+stay below half the threshold together (REST), cannot carry it alone; their
+postings are left to scoring.  For all passages of a batch at once, block maxima of the other
 postings and the bound of what was left out say which (passage, block) can reach
 the threshold; block-max WAND then runs over the postings of those blocks.  A
 retrieved item stands if the passage's word triples cover enough of its
@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 
 from .common import tune
 
-HALF, THETA, OVERLAP, GRAM, BLOCK, SHARD_WORDS = 64, 0.5, 0.5, 3, 8, 2_000_000
-K1, B = 1.2, 0.75
+HALF, THETA, OVERLAP, GRAM, BLOCK, SHARD_WORDS = 64, 0.5, 0.5, 3, 4, 2_000_000
+K1, B, REST = 1.2, 0.75, 0.5
 _WORD = re.compile(r"[^\W_]+")
 _EPS = 1e-9
 
@@ -76,7 +76,7 @@ class Index:
                 rest = True
                 for t in sorted(impact, key=lambda t: (-df[t], t)):
                     share = impact[t] / whole
-                    rest = rest and below + share < theta - _EPS
+                    rest = rest and below + share < theta * REST
                     below += share * rest
                     rows.append((self.vocab.setdefault(t, len(self.vocab)), seg, share, not rest))
                 spare.append(below)
