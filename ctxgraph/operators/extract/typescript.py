@@ -11,7 +11,7 @@ CONTEXT = [("catch", "error_handler"), ("try", "error_handler"), ("if", "conditi
 _DECL = re.compile(
     r"(?P<export>\bexport\s+(?:default\s+)?)?(?:\bdeclare\s+)?(?:(?:async\s+)?\bfunction\s*\*?\s*(?P<fn>[\w$]+)|(?:abstract\s+)?\bclass\s+(?P<cls>[\w$]+)|\binterface\s+(?P<iface>[\w$]+)|\btype\s+(?P<type>[\w$]+)\s*(?:<[^=]*>)?\s*=|(?:const\s+)?\benum\s+(?P<enum>[\w$]+)|\b(?P<var>const|let|var)\s+(?P<name>[\w$]+))"
 )
-_METHOD = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?P<name>[\w$#]+)\s*(?:<[^>(]*>)?\(")
+_METHOD = re.compile(r"(?m)(?:^|(?<=[{;}]))[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?P<name>[\w$#]+)\s*(?:<[^>(]*>)?\(")
 _IMPORT = re.compile(r"(?m)^[ \t]*import\s+(?:type\s+)?(?P<what>[^;'\"]*?)(?:\s*from\s*)?['\"](?P<path>[^'\"]+)['\"]")
 
 

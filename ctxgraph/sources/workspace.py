@@ -1,14 +1,17 @@
 """Source trees as tables: a recursive scan with predicates on the path.
 
-The files come from Spark's ``binaryFile`` source, so size and path filters
-reach the listing and the contents are read where they are used.
+Size and path filters apply to the listing; contents are read where they are
+used, through whatever file system the URI names.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +46,66 @@ def relative(path: Column, root: str, prefix: str = "") -> Column:
     return F.when(F.startswith(bare, F.lit(root)), F.concat(F.lit(prefix), F.substring(bare, len(root) + 1, 1 << 30))).otherwise(bare)
 
 
+LISTED = "path string, is_dir boolean, size_bytes long, mtime_ns long"
+
+
+def listing(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
+    """(path, size_bytes, mtime_ns) of all files under ``root``.
+
+    Folders are listed level by level, in tasks; excluded ones are not entered
+    and links not followed.  (Spark's own file sources pass over names that
+    begin with a dot or an underscore, which source trees are full of.)"""
+    from ..plans.scratch import keep
+
+    names = set(config.exclude_patterns)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                where, base = fs.FileSystem.from_uri(folder)
+                scheme = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+                for f in where.get_file_info(fs.FileSelector(base)):
+                    if f.base_name in names or (scheme in ("", "file://") and os.path.islink(f.path)):
+                        continue
+                    rows.append((scheme + f.path, f.type == fs.FileType.Directory, f.size or 0, f.mtime_ns or 0))
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "is_dir", "size_bytes", "mtime_ns"])
+
+    level, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        got = keep(level.mapInArrow(run, LISTED), "listing")
+        files = got.where("NOT is_dir").drop("is_dir")
+        out = files if out is None else out.unionByName(files)
+        level = got.where("is_dir").select("path")
+        if level.isEmpty():
+            return out
+        level = level.repartition("path")
+
+
 def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[str, str] | None = None) -> DataFrame:
     """(path, language, mtime_ns, size_bytes, content) of the known files
-    under ``root`` and extra roots (prefix -> folder)."""
+    under ``root`` and extra roots (prefix -> folder); contents are read in the
+    tasks that use them."""
     out = None
     for prefix, folder in {"": root, **{k + "/": v for k, v in (extra or {}).items()}}.items():
-        folder = str(Path(folder).resolve()) if "://" not in folder else folder
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= config.max_file_size)
-        path = relative(F.col("path"), re.sub(r"^file:/*", "/", folder), prefix)
-        part = raw.select(path.alias("path"), F.unix_micros("modificationTime").alias("mtime_us"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
-        part = part.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~excluded(F.col("path"), config.exclude_patterns))
-        part = part.select("path", "language", (F.col("mtime_us") * 1000).alias("mtime_ns"), "size_bytes", F.decode("raw", "UTF-8").alias("content"))
+        folder = "file://" + str(Path(folder).resolve()) if "://" not in folder else folder
+        part = listing(spark, folder, config).where(F.col("size_bytes") <= config.max_file_size)
+        cut = len(folder.rstrip("/")) + 2
+        part = part.withColumns({"uri": F.col("path"), "path": F.concat(F.lit(prefix), F.substring("path", cut, 1 << 30))})
+        part = part.withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
         out = part if out is None else out.unionByName(part)
-    return out
+
+    def run(batches):
+        for batch in batches:
+            content = []
+            for uri in batch.column("uri").to_pylist():
+                where, base = fs.FileSystem.from_uri(uri)
+                with where.open_input_stream(base) as f:
+                    content.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "language", "mtime_ns", "size_bytes")), pa.array(content, pa.string())], names=["path", "language", "mtime_ns", "size_bytes", "content"])
+
+    return out.select("path", "language", "mtime_ns", "size_bytes", "uri").mapInArrow(run, "path string, language string, mtime_ns long, size_bytes long, content string")
 
 
 def fingerprint(files: DataFrame) -> str:
