@@ -101,7 +101,7 @@ def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[
             content = []
             for uri in batch.column("uri").to_pylist():
                 where, base = fs.FileSystem.from_uri(uri)
-                with where.open_input_stream(base) as f:
+                with where.open_input_stream(base, compression=None) as f:
                     content.append(f.read().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "language", "mtime_ns", "size_bytes")), pa.array(content, pa.string())], names=["path", "language", "mtime_ns", "size_bytes", "content"])
 
