@@ -167,7 +167,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 page, uri, payload, full, sha1, first = (c[i].as_py() for c in cols)
                 if out is None:
                     path, n, size = f"{base}/{attempt}-{len(done):04d}.warc.gz", 0, 0
-                    out = where.open_output_stream(path)
+                    out = where.open_output_stream(path, compression=None)
                 sha = base64.b32encode(bytes.fromhex(sha1)).decode()
                 data = record(name(page), uri or "urn:null", payload if first is None else bytes(0), sha) if first is None else _revisit(name(page), uri or "urn:null", full, sha, name(first))
                 data = gzip_member(data)
@@ -212,7 +212,7 @@ def read(spark: SparkSession, files: DataFrame, folder: str, payload: bool = Tru
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held, n = [], 0, 0
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     found = members(stream)
                     while True:
                         try:
