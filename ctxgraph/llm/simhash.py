@@ -190,45 +190,46 @@ def links(fps: DataFrame, radius: int = RADIUS, n: int | None = None) -> DataFra
 
 def components(marked: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """``marked(key, fp, ...)`` with ``component_id``, the smallest key that
-    links of at most ``radius`` bits reach, itself included."""
+    links of at most ``radius`` bits reach, itself included, and ``root``, a
+    fingerprint that stands for the component."""
     scratch = Scratch(marked.sparkSession, "simhash")
-    marked = scratch.keep(marked.drop("component_id"))
+    marked = scratch.keep(marked.drop("component_id", "root"))
     # Equal fingerprints are one node; the node's name is its smallest key.
     nodes = scratch.keep(marked.groupBy("fp").agg(F.min(key).alias("__low")))
     found = links(nodes.select("fp"), radius, nodes.count())
     roots = scratch.keep(connected_components(found, scratch))
     named = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("__low").alias("__id"))
-    name = roots.join(named, "root").select(F.col("node").alias("__fp"), "__id")
-    name = nodes.join(name, nodes.fp == name["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("__id", "__low").alias("component_id"))
+    name = roots.join(named, "root").select(F.col("node").alias("__fp"), "__id", "root")
+    name = nodes.join(name, nodes.fp == name["__fp"], "left").select(F.col("fp").alias("__fp"), F.coalesce("__id", "__low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # A fingerprint that a third of all rows share (copies) is salted, so that no task gets all of them.
     salts = 16
     wide = name.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = marked.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    return left.join(wide, (left.fp == wide["__fp"]) & (left["__salt"] == wide["__salt"])).select(*[left[c] for c in marked.columns], "component_id")
+    return left.join(wide, (left.fp == wide["__fp"]) & (left["__salt"] == wide["__salt"])).select(*[left[c] for c in marked.columns], "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """key, fp (signed long) and component_id of every row of ``docs``."""
-    return components(fingerprints(docs.select(key, text), text), key, radius)
+    return components(fingerprints(docs.select(key, text), text), key, radius).drop("root")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component of ``docs``: that of the smallest key.
 
-    Of rows repeating a key one stays; a row with a null key stays if its
-    component has no named member."""
+    Of rows repeating a key within a component one stays; a row with a null key
+    stays if its component has no named member."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash-keep")
     marked = scratch.keep(fingerprints(docs.select(key, text), text))
     found = scratch.keep(components(marked, key, radius))
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), F.col("fp").alias("__fp"))
+    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         kept = scratch.keep(kept)  # its size decides between broadcast and shuffle
         out = docs.join(kept, docs[key] == kept["__key"], "left_semi")
     else:  # some id is there twice: its rows are told apart by their fingerprints
         kept = scratch.keep(kept.distinct())
         full = fingerprints(docs.withColumn("__text", F.col(text)), "__text")
-        out = full.join(kept, (full[key] == kept["__key"]) & (full["fp"] == kept["__fp"]), "left_semi").select(*docs.columns).dropDuplicates([key])
+        out = full.join(kept, (full[key] == kept["__key"]) & (full["fp"] == kept["__fp"])).dropDuplicates([key, "__root"]).select(*[full[c] for c in docs.columns])
     unnamed = docs.where(F.col(key).isNull())
     if not unnamed.isEmpty():
         named = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
