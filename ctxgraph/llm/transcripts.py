@@ -119,7 +119,13 @@ def _ordered(chunks: DataFrame, key: str, order: str, scratch: Scratch) -> DataF
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [key, order, "__h"]
     chunks = chunks.withColumn("__h", F.xxhash64("__t")).repartitionByRange(n, *by).sortWithinPartitions(*by)
-    return scratch.keep(chunks.withColumn("__part", F.spark_partition_id()))
+    return scratch.keep(chunks.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _parts(rows: list[int], seen: dict[int, int]) -> list[int]:
+    """Of each row the part it belongs to, named by the part's first row in this
+    task: a file that is read by two tasks makes two parts, in order."""
+    return [seen.setdefault(r >> 33, r) for r in rows]
 
 
 def _runs(keys: list) -> list[tuple[int, int]]:
@@ -140,8 +146,9 @@ def fit(labelled: DataFrame, key: str = "conv_id", order: str = "turn", role: st
         add = lambda *k: seen.__setitem__(k, seen.get(k, 0) + 1)
         last: dict[int, tuple] = {}
         ends = []  # (part, key, role) of the first and the last row of each part
+        named: dict[int, int] = {}
         for batch in batches:
-            for k, r, t, p in zip(*(batch.column(c).to_pylist() for c in ("__k", "__r", "__t", "__part"))):
+            for k, r, t, p in zip(*(batch.column(c).to_pylist() for c in ("__k", "__r", "__t")), _parts(batch.column("__row").to_pylist(), named)):
                 r = ROLES.index(r)
                 if p not in last:
                     ends.append((p, 0, k, r))
@@ -156,6 +163,8 @@ def fit(labelled: DataFrame, key: str = "conv_id", order: str = "turn", role: st
                         add("step", 2 * r + (i > 1), s)
                     for j, x in enumerate(f):
                         add(f"f{j}", s, x)
+                    if i == 0:  # a turn may as well begin within a chunk
+                        add("f1", s, 0)
                 last[p] = (k, 2 * r + (len(feats) > 1))
         ends += [(p, 1, k, s) for p, (k, s) in last.items()]
         out = [(n, a, b, c, None) for (n, a, b), c in seen.items()] + [("end", p, side, s, None if k is None else str(k)) for p, side, k, s in ends]
@@ -233,8 +242,9 @@ def parse(chunks: DataFrame, model: Model, key: str = "conv_id", order: str = "t
         except for what the run's length forces into memory: one conversation's
         part of one task."""
         held, at = [], None
+        named: dict[int, int] = {}
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("__part", "__k", "__o", "__t")]
+            cols = [_parts(batch.column("__row").to_pylist(), named), *(batch.column(c).to_pylist() for c in ("__k", "__o", "__t"))]
             for a, b in _runs(list(zip(cols[0], cols[1]))):
                 here = (cols[0][a], cols[1][a])
                 if held and here != at:
