@@ -88,7 +88,7 @@ RAW: dict[str, str] = {
     "bm25_cascade": f"WITH {_bm25('v_files', ('content',), (('theaea', 're', 'anshe'),)).replace('hits AS', 'hits_and AS')}, {_bm25('v_files', ('content',), (('theaea', 're'), ('anshe',))).replace('doc_words', 'doc_words2').replace('corpus', 'corpus2').replace('terms', 'terms2').replace('grp', 'grp2').replace('gs', 'gs2').replace('tf AS (', 'tf2 AS (').replace('FROM tf ', 'FROM tf2 ').replace('df AS (', 'df2 AS (').replace('FROM tf2 JOIN df ', 'FROM tf2 JOIN df2 ').replace('tf.id', 'tf2.id')}, "
     "a AS (SELECT * FROM hits_and ORDER BY bm25 DESC, id LIMIT 40), o AS (SELECT * FROM hits ORDER BY bm25 DESC, id LIMIT 40), "
     "c AS (SELECT count(*) AS n FROM a) SELECT id, round(bm25, 6) AS bm25 FROM a, c WHERE n >= 5 UNION ALL SELECT id, round(bm25, 6) FROM o, c WHERE n < 5",
-    "like_fallback": f"WITH {NODE_DOCS} SELECT id, name, path, 1.0 AS bm25 FROM nd WHERE " + " OR ".join(f"{c} ILIKE '%{w}%'" for w in ("arge-x", "upplie", "0001") for c in ("name", "qualified_name", "signature", "path")) + " ORDER BY id LIMIT 40",
+    "like_fallback": f"WITH {NODE_DOCS} SELECT id, name, path, CAST(1.0 AS DOUBLE) AS bm25 FROM nd WHERE " + " OR ".join(f"{c} ILIKE '%{w}%'" for w in ("arge-x", "upplie", "0001") for c in ("name", "qualified_name", "signature", "path")) + " ORDER BY id LIMIT 40",
     "hybrid_score": f"""WITH {NODE_DOCS}, {_pagerank(10)}, {_bm25('nd', NODE_FIELDS, (('supplier',), ('europe',))).replace('hits AS', 'hits_or AS').replace('gs AS', 'gs0 AS').replace('FROM gs ', 'FROM gs0 ')},
 allhit AS (SELECT id, sum(s) AS bm25 FROM gs0 GROUP BY id HAVING count(*) = 2),
 na AS (SELECT count(*) AS n FROM (SELECT * FROM allhit LIMIT 30)),
@@ -107,7 +107,7 @@ SELECT id, 'bench' AS workspace, round((0.30 * bm25 / max(bm25) OVER () + 0.30 *
     "cluster_labels": "WITH d AS (SELECT id, path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM v_files) SELECT id, path, CASE WHEN count(*) OVER (PARTITION BY dir) > 2 THEN dir END AS cluster_id FROM d",
     "detect_intent": f"""WITH t AS (SELECT id, headline || ' ' || content AS q FROM v_obs), s AS (SELECT id, {_count('q', DEBUG_WORDS)} AS d, {_count('q', BLAST_WORDS)} AS b, {_count('q', MODIFY_WORDS)} AS m FROM t),
 i AS (SELECT id, CASE WHEN greatest(d, b, m) = 0 THEN 'explore' WHEN m = greatest(d, b, m) THEN 'modify' WHEN d = greatest(d, b, m) THEN 'debug' ELSE 'blast_radius' END AS intent FROM s)
-SELECT id, intent, CASE intent WHEN 'debug' THEN 0.45 WHEN 'blast_radius' THEN 0.15 ELSE 0.30 END AS bm25_weight FROM i""",
+SELECT id, intent, CASE intent WHEN 'debug' THEN CAST(0.45 AS DOUBLE) WHEN 'blast_radius' THEN 0.15 ELSE 0.30 END AS bm25_weight FROM i""",
     "token_estimate": "SELECT id, CAST(ceil(strlen(content) / 3.0) AS BIGINT) AS tokens, CAST(floor(strlen(content) / 4.0) AS BIGINT) AS tokens_fallback FROM v_files",
     "tokenize_identifier": f"""WITH t AS (SELECT id, {_tokens('qualified_name')} AS tokens, {words(CAMEL.format("coalesce(signature, '')", "'[^\\p{L}\\p{N}]+'"))} AS ws FROM v_nodes)
 SELECT id, tokens, array_to_string(list_filter(ws, lambda w: strlen(w) > 1), ' ') AS words FROM t""",
@@ -127,7 +127,7 @@ WHERE e.confidence >= 0.87 AND (s.name = 'Supplier#000000007' OR t.name = 'Suppl
     "edges_touching": "WITH ids AS (SELECT id FROM v_nodes WHERE (kind = 'struct' AND visibility = 'private') OR (kind = 'class' AND file_id = 4)) SELECT source_node_id, target_node_id, kind, round(confidence, 6) AS confidence FROM v_edges WHERE source_node_id IN (SELECT id FROM ids) OR target_node_id IN (SELECT id FROM ids)",
     "enclosing_node": "WITH p AS (SELECT id, id % 50 AS file_id, id % 60 * 7 AS line FROM v_refs) SELECT p.id, p.file_id, p.line, n.id AS node_id FROM p JOIN v_nodes n ON n.file_id = p.file_id AND p.line BETWEEN n.line_start AND n.line_end QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY n.line_end - n.line_start, n.id) = 1",
     "edge_kind_counts": "SELECT kind, count(*) AS n FROM v_edges GROUP BY kind",
-    "degrees": "SELECT id, sum(o) AS out_degree, sum(i) AS in_degree FROM (SELECT source_node_id AS id, 1 AS o, 0 AS i FROM v_edges UNION ALL SELECT target_node_id, 0, 1 FROM v_edges) GROUP BY id",
+    "degrees": "SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source_node_id AS id, 1 AS o, 0 AS i FROM v_edges UNION ALL SELECT target_node_id, 0, 1 FROM v_edges) GROUP BY id",
     "pagerank_k": f"WITH {_pagerank(10)} SELECT id, round(rank, 10) AS rank FROM r10",
     "top_pagerank": f"WITH {_pagerank(10)} SELECT v.id, v.kind, v.name, round(r.rank, 10) AS rank FROM r10 r JOIN v_nodes v USING (id) WHERE v.kind = 'class' ORDER BY r.rank DESC, v.id LIMIT 20",
     "impact_bfs": """WITH RECURSIVE st AS (SELECT id FROM v_nodes WHERE name = 'ASIA' OR qualified_name = 'ASIA' ORDER BY id LIMIT 1),
@@ -144,10 +144,10 @@ imp AS (SELECT DISTINCT s.file_id AS a, t.file_id AS b FROM v_edges e JOIN v_nod
 c AS (SELECT r.id AS ref_id, r.source_node_id, pub.id AS target_node_id, r.edge_kind, pub.kind AS nk, imp.a IS NOT NULL AS i,
   coalesce(regexp_replace(r.import_path, '^(\./)+', '') <> '' AND ends_with(regexp_replace(pub.path, '\.[^./]*$', ''), regexp_replace(r.import_path, '^(\./)+', '')), FALSE) AS p, count(*) OVER (PARTITION BY r.id) AS n
   FROM v_refs r JOIN v_nodes s ON s.id = r.source_node_id JOIN pub ON pub.name = r.target_name AND pub.file_id <> s.file_id LEFT JOIN imp ON imp.a = s.file_id AND imp.b = pub.file_id),
-b AS (SELECT *, CASE WHEN i THEN 0.85 WHEN p THEN 0.80 WHEN n > 1 THEN 0.30 ELSE 0.50 END AS base FROM c),
+b AS (SELECT *, CASE WHEN i THEN CAST(0.85 AS DOUBLE) WHEN p THEN 0.80 WHEN n > 1 THEN 0.30 ELSE 0.50 END AS base FROM c),
 k AS (SELECT *, round(CASE WHEN (edge_kind = 'calls' AND nk IN ('function', 'method')) OR (edge_kind = 'type_ref' AND nk IN ('struct', 'class', 'trait', 'interface', 'type_alias', 'enum')) THEN least(base + 0.05, 0.99) ELSE base END, 6) AS confidence FROM b)
 SELECT ref_id, source_node_id, target_node_id, edge_kind AS kind, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY confidence DESC, target_node_id) AS nth FROM k) WHERE nth = 1 AND confidence > 0.30""",
-    "cross_workspace": f"WITH xn AS (SELECT id, file_id, kind, name, qualified_name, visibility, is_export OR id % 3 = 0 AS is_export FROM v_nodes), m AS (SELECT name, arg_min(coalesce(qualified_name, name), id) AS q FROM xn WHERE kind = 'function' AND ({_ALLOWED}) GROUP BY name) SELECT r.id AS ref_id, r.source_node_id, 'parts' AS target_workspace, m.q AS target_qualified_name, r.edge_kind AS kind, 0.7 AS confidence FROM v_refs r JOIN m ON m.name = r.target_name",
+    "cross_workspace": f"WITH xn AS (SELECT id, file_id, kind, name, qualified_name, visibility, is_export OR id % 3 = 0 AS is_export FROM v_nodes), m AS (SELECT name, arg_min(coalesce(qualified_name, name), id) AS q FROM xn WHERE kind = 'function' AND ({_ALLOWED}) GROUP BY name) SELECT r.id AS ref_id, r.source_node_id, 'parts' AS target_workspace, m.q AS target_qualified_name, r.edge_kind AS kind, CAST(0.7 AS DOUBLE) AS confidence FROM v_refs r JOIN m ON m.name = r.target_name",
     "shared_types": "SELECT t.id, t.name, count(DISTINCT s.file_id) AS file_count FROM v_edges e JOIN v_nodes t ON t.id = e.target_node_id JOIN v_nodes s ON s.id = e.source_node_id WHERE t.kind IN ('struct', 'class', 'interface', 'enum', 'trait', 'type_alias') GROUP BY t.id, t.name HAVING count(DISTINCT s.file_id) >= 2",
     "structural_diff": """WITH o0 AS (SELECT file_id, kind, name, signature, line_start, id FROM v_nodes WHERE kind = 'function'),
 n0 AS (SELECT file_id, kind, CASE WHEN id % 11 = 0 THEN name || ' new' ELSE name END AS name, CASE WHEN id % 5 = 0 THEN signature || ' -> i64' ELSE signature END AS signature, line_start + id % 3 AS line_start FROM o0 WHERE id % 7 <> 0),
@@ -163,7 +163,7 @@ UNION ALL SELECT file_id, 'renamed' FROM ren
 UNION ALL SELECT c.file_id, 'added' FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = c.file_id AND r.kind = c.kind AND r.name = c.name)
 UNION ALL SELECT g.file_id, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.file_id = g.file_id AND r.kind = g.kind AND r.old_name = g.name))
 SELECT change, count(*) AS n, CAST(sum(file_id) AS BIGINT) AS files FROM d GROUP BY change""",
-    "submit_edges": "WITH q AS (SELECT qualified_name, min(id) AS id FROM v_nodes WHERE qualified_name IS NOT NULL GROUP BY 1), g AS (SELECT 'supplier::' || s_name AS source, 'region::' || CASE s_suppkey % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE' ELSE 'NOWHERE' END AS target, CASE WHEN s_suppkey % 2 = 0 THEN 'imports' ELSE 'calls' END AS kind FROM supplier) SELECT a.id AS source_node_id, b.id AS target_node_id, g.kind, 0.95 AS confidence FROM g JOIN q a ON a.qualified_name = g.source JOIN q b ON b.qualified_name = g.target",
+    "submit_edges": "WITH q AS (SELECT qualified_name, min(id) AS id FROM v_nodes WHERE qualified_name IS NOT NULL GROUP BY 1), g AS (SELECT 'supplier::' || s_name AS source, 'region::' || CASE s_suppkey % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE' ELSE 'NOWHERE' END AS target, CASE WHEN s_suppkey % 2 = 0 THEN 'imports' ELSE 'calls' END AS kind FROM supplier) SELECT a.id AS source_node_id, b.id AS target_node_id, g.kind, CAST(0.95 AS DOUBLE) AS confidence FROM g JOIN q a ON a.qualified_name = g.source JOIN q b ON b.qualified_name = g.target",
     "range_merge": """WITH p AS (SELECT file_id, greatest(line_start - 5, 1) AS a, least(line_end + 5, 300) AS b FROM v_nodes WHERE greatest(line_start - 5, 1) <= least(line_end + 5, 300)),
 m AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY file_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9) + 1 THEN 1 ELSE 0 END AS new FROM p),
 i AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
