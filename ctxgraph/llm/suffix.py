@@ -16,6 +16,9 @@ with 8 bytes per candidate, so that only few reach a sort:
    to a shallow depth, then blind tries split the groups with long common
    prefixes at their branching bytes only.  Suffixes alike to ``length`` bytes
    form a class; members above the class's smallest id are covered.
+5. *Hot anchors.*  An anchor with many contexts (a line that many documents share
+   in different surroundings) would fill one task, so its windows are dealt out
+   one by one, by their own hash: 24 bytes for each different window of a block.
 
 Equal anchors, contexts and windows of a block are merged before they are sent,
 so a passage in a third of all documents costs each task one row a block.  The
@@ -42,9 +45,11 @@ from pyspark.sql import types as T
 from .common import Scratch, tune
 
 LENGTH, GRAM, SHALLOW, BLOCK = 50, 24, 24, 1 << 20
+#: Contexts of one anchor in a block, or in all blocks, from which its windows are dealt out one by one.
+HOT, HOT_ALL = 64, 2048
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
 _U = np.uint64
-NO_ID = np.iinfo(np.int64).max
+NO_ID, HOT_ID = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
 def words8(body: bytes, order: str = "<") -> np.ndarray:
@@ -225,14 +230,50 @@ class Block:
         self.e_id = self.ids[self.doc[self.first]]
         return self
 
-    def status(self, answers: dict, parts: int) -> np.ndarray:
-        """Of each entry: 0 kept, 1 covered, 2 to be compared."""
-        out = np.zeros(len(self.first), np.uint8)
-        cuts = self.cuts(self.e_hash, parts)
+    def sent(self, hot: int) -> np.ndarray:
+        """The entries that are sent: all of an anchor, or of a hot one the first
+        alone, which says so."""
+        anchor = np.flatnonzero(np.concatenate([[True], self.e_hash[1:] != self.e_hash[:-1]])) if len(self.e_hash) else np.empty(0, np.int64)
+        size = np.diff(np.append(anchor, len(self.e_hash)))
+        self.hot = np.repeat(size > hot, size)
+        keep = ~self.hot
+        keep[anchor] = True
+        return np.flatnonzero(keep)
+
+    def status(self, answers: dict, parts: int, hot: int) -> np.ndarray:
+        """Of each entry: 0 kept, 1 covered, 2 to be compared in its anchor's
+        group, 3 to be compared window by window."""
+        sent = self.sent(hot)
+        got = np.zeros(len(sent), np.uint8)
+        cuts = self.cuts(self.e_hash[sent], parts)
         for part, data in answers.get(1, {}).items():
-            out[cuts[part] : cuts[part + 1]] = np.frombuffer(data, np.uint8)
+            got[cuts[part] : cuts[part + 1]] = np.frombuffer(data, np.uint8)
+        out = np.where(self.hot, np.uint8(3), np.uint8(0))
+        out[sent] = np.where(self.hot[sent], np.uint8(3), got)
         return out
 
+    def windows(self, pick: np.ndarray):
+        """The windows of some entries: (position, id, group) of each, and the
+        groups of equal ones, (hashes, smallest id), in order of the first hash."""
+        at = self.first[pick]
+        n = np.maximum(0, self.stop[at] - self.start[at] - self.length + 1)
+        pos = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids = np.repeat(self.e_id[pick], n)
+        a, b = np.full(len(pos), _K[4]), np.full(len(pos), _K[7])
+        for k in [*range(0, self.length - 7, 8), self.length - 8]:
+            w = self.word[pos + k]
+            a = (a ^ w) * _K[0]
+            a ^= a >> _U(31)
+            b = (b ^ w) * _K[3]
+            b ^= b >> _U(29)
+        by = np.lexsort((ids, b, a))
+        new = np.ones(len(by), bool)
+        new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
+        group = np.empty(len(by), np.int64)
+        group[by] = np.cumsum(new) - 1
+        rep = by[new]
+        return pos, ids, group, a[rep], b[rep], ids[rep]
+
     @staticmethod
     def cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
         """Bounds of each part's slice of sorted hashes."""
@@ -241,7 +282,7 @@ class Block:
 
 
 def _blobs(rows: list, names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+    kinds = [{"kind": pa.int32(), "part": pa.int32(), "block": pa.int64()}.get(n, pa.binary()) for n in names]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -283,7 +324,12 @@ def _answer_anchors(batches):
     yield _blobs(rows, ["part", "block", "data"])
 
 
-def _answer_contexts(batches):
+def _answer_contexts(hot_all: int):
+    return lambda batches: _contexts(batches, hot_all)
+
+
+def _contexts(batches, hot_all: int):
+    """Status of each entry; an entry of id HOT_ID says that its anchor is hot."""
     part, block, blobs = _gather(batches, ["a", "b", "c", "d"])
     if not part:
         return
@@ -299,9 +345,13 @@ def _answer_contexts(batches):
     first = np.flatnonzero(new)
     low = np.repeat(sid[first], np.diff(np.append(first, len(by))))
     anchors = np.flatnonzero(other)
-    many = np.repeat(np.add.reduceat(new.astype(np.int64), anchors), np.diff(np.append(anchors, len(by)))) > 1
+    width = np.diff(np.append(anchors, len(by)))
+    count = np.add.reduceat(new.astype(np.int64), anchors)
+    many = np.repeat(count > 1, width)
+    hot = np.repeat((count > hot_all) | (np.minimum.reduceat(sid, anchors) == HOT_ID), width)
     status = np.empty(len(by), np.uint8)
-    status[by] = np.where(sid > low, 1, np.where(many, 2, 0))
+    # A hot anchor's contexts are settled by their windows alone: of equal ones in two blocks too.
+    status[by] = np.where(hot, 3, np.where(sid > low, 1, np.where(many, 2, 0)))
     ends = np.cumsum(size)
     rows = [(p, b, status[e - s : e].tobytes()) for p, b, e, s in zip(part, block, ends, size) if status[e - s : e].any()]
     yield _blobs(rows, ["part", "block", "data"])
@@ -317,33 +367,60 @@ def _slices(h: np.ndarray, lens: np.ndarray, size: int) -> list[np.ndarray]:
     return np.split(by, np.unique(starts[at[at < len(starts)]]))
 
 
+def _suffix_masks(data: list, length: int, slice_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of covered windows of each entry, and the number of entries a row."""
+    hashes, own_ids, sizes, bodies = data
+    size = np.array([len(x) for x in sizes])
+    h, ids = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(own_ids), np.int64)
+    lens = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+    body = np.frombuffer(b"".join(bodies), np.uint8)
+    begin, mask = np.cumsum(lens) - lens, np.zeros(len(lens), np.uint64)
+    for own in _slices(h, lens, slice_bytes) if len(lens) else ():  # a few sorts, each of little memory
+        n = lens[own]
+        at, windows = np.cumsum(n) - n, n - length + 1
+        text = body[np.repeat(begin[own] - at, n) + np.arange(n.sum())].tobytes()
+        first = np.cumsum(windows) - windows
+        nth = np.arange(windows.sum()) - np.repeat(first, windows)
+        hit = covered_windows(text, np.repeat(at, windows) + nth, np.repeat(ids[own], windows), length)
+        mask[own] = np.add.reduceat(np.where(hit, _U(1) << nth.astype(np.uint64), _U(0)), first)
+    return mask, size
+
+
+def _window_bits(data: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window: does an equal one have a smaller id?"""
+    size = np.array([len(x) // 8 for x in data[0]])
+    a, b, ids = (np.frombuffer(b"".join(x), t) for x, t in zip(data, (np.uint64, np.uint64, np.int64)))
+    by = np.lexsort((ids, b, a))
+    new = np.ones(len(by), bool)
+    new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
+    first = np.flatnonzero(new)
+    low = np.repeat(ids[by][first], np.diff(np.append(first, len(by))))
+    out = np.zeros(len(by), bool)
+    out[by] = ids[by] > low
+    return out, size
+
+
 def _answer_suffixes(length: int, slice_bytes: int = 1 << 20):
+    """Rows of kind 2 are contexts of anchors, rows of kind 3 windows."""
+
     def run(batches):
-        part, block, blobs = _gather(batches, ["h", "a", "b", "c"])
-        if not part:
-            return
-        size = np.array([len(x) for x in blobs[2]])
-        h, ids = np.frombuffer(b"".join(blobs[0]), np.uint64), np.frombuffer(b"".join(blobs[1]), np.int64)
-        lens = np.frombuffer(b"".join(blobs[2]), np.uint8).astype(np.int64)
-        body = np.frombuffer(b"".join(blobs[3]), np.uint8)
-        begin, mask = np.cumsum(lens) - lens, np.zeros(len(lens), np.uint64)
-        blobs.clear()
-        for own in _slices(h, lens, slice_bytes):  # a few sorts, each of little memory
-            n = lens[own]
-            at, windows = np.cumsum(n) - n, n - length + 1
-            text = body[np.repeat(begin[own] - at, n) + np.arange(n.sum())].tobytes()
-            first = np.cumsum(windows) - windows
-            nth = np.arange(windows.sum()) - np.repeat(first, windows)
-            hit = covered_windows(text, np.repeat(at, windows) + nth, np.repeat(ids[own], windows), length)
-            mask[own] = np.add.reduceat(np.where(hit, _U(1) << nth.astype(np.uint64), _U(0)), first)
-        ends = np.cumsum(size)
-        rows = [(p, b, mask[e - s : e].tobytes()) for p, b, e, s in zip(part, block, ends, size) if mask[e - s : e].any()]
-        yield _blobs(rows, ["part", "block", "data"])
+        rows: dict[int, list] = {2: [[], [], [], [], [], []], 3: [[], [], [], [], [], []]}
+        for batch in batches:
+            blobs = [_bytes(batch, c) for c in "habc"]
+            for i, (kind, part, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "block")))):
+                for out, x in zip(rows[kind], (part, block, *(c[i] for c in blobs))):
+                    out.append(x)
+        for kind, (part, block, *data) in rows.items():
+            if part:
+                got, size = _suffix_masks(data, length, slice_bytes) if kind == 2 else _window_bits(data[:3])
+                pack = (lambda x: x.tobytes()) if kind == 2 else (lambda x: np.packbits(x).tobytes())
+                ends = np.cumsum(size)
+                yield _blobs([(kind, p, b, pack(got[e - n : e])) for p, b, e, n in zip(part, block, ends, size) if got[e - n : e].any()], ["kind", "part", "block", "data"])
 
     return run
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, block_bytes: int = BLOCK, hot: int = HOT, hot_all: int = HOT_ALL) -> DataFrame:
     """``docs`` with repeated bytes removed from ``text``, and n_bytes,
     n_removed, n_spans.  With ``digest`` the text is replaced by kept_sha256."""
     spark, gram = docs.sparkSession, GRAM
@@ -387,7 +464,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         source = spark.table(table).select("block", *columns)
         every = None
         for kind, a in enumerate(answers):
-            a = a.select("block", F.struct(F.lit(kind).alias("kind"), "part", "data").alias("x"))
+            kind = F.col("kind") if "kind" in a.columns else F.lit(kind)
+            a = a.select("block", F.struct(kind.alias("kind"), "part", "data").alias("x"))
             every = a if every is None else every.unionByName(a)
         every = every.groupBy("block").agg(F.collect_list("x").alias("answers")).hint("shuffle_hash")
         return source.join(every, "block", "left")
@@ -409,26 +487,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     def send_contexts(batches):
         for _, _, name, b, got in opened(batches):
             b.repeated(got, parts)
-            cuts = Block.cuts(b.e_hash, parts)
-            yield _blobs([(p, name, *(x[lo:hi].tobytes() for x in (b.e_hash, *b.e_c, b.e_id))) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo], ["part", "block", "a", "b", "c", "d"])
+            own = b.sent(hot)
+            cuts = Block.cuts(b.e_hash[own], parts)
+            ids = np.where(b.hot[own], HOT_ID, b.e_id[own])
+            yield _blobs([(p, name, *(x[lo:hi].tobytes() for x in (b.e_hash[own], *(c[own] for c in b.e_c), ids))) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo], ["part", "block", "a", "b", "c", "d"])
 
     def send_suffixes(batches):
         for _, _, name, b, got in opened(batches):
             b.repeated(got, parts)
-            pick = np.flatnonzero(b.status(got, parts) == 2)
+            status = b.status(got, parts, hot)
+            _, _, _, w0, w1, low = b.windows(np.flatnonzero(status == 3))
+            cuts = Block.cuts(w0, parts)
+            rows = [(3, p, name, w0[lo:hi].tobytes(), w1[lo:hi].tobytes(), low[lo:hi].tobytes(), b"") for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+            pick = np.flatnonzero(status == 2)
             cuts = Block.cuts(b.e_hash[pick], parts)
-            rows = []
             for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if hi > lo:
                     at = b.first[pick[lo:hi]]
                     text_ = b"".join(b.body[s:e] for s, e in zip(b.start[at].tolist(), b.stop[at].tolist()))
-                    rows.append((p, name, b.e_hash[pick[lo:hi]].tobytes(), b.e_id[pick[lo:hi]].tobytes(), (b.stop - b.start)[at].astype(np.uint8).tobytes(), text_))
-            yield _blobs(rows, ["part", "block", "h", "a", "b", "c"])
+                    rows.append((2, p, name, b.e_hash[pick[lo:hi]].tobytes(), b.e_id[pick[lo:hi]].tobytes(), (b.stop - b.start)[at].astype(np.uint8).tobytes(), text_))
+            yield _blobs(rows, ["kind", "part", "block", "h", "a", "b", "c"])
 
     def apply(batches):
         for batch, i, _, b, got in opened(batches):
             b.repeated(got, parts)
-            status, body = b.status(got, parts), np.frombuffer(b.body, np.uint8)
+            status, body = b.status(got, parts, hot), np.frombuffer(b.body, np.uint8)
             delta = np.zeros(len(body) + 1, np.int32)
             gone = (b.ids[b.doc] > b.e_id[b.entry]) | (status[b.entry] == 1)
             np.add.at(delta, b.start[gone], 1)
@@ -442,6 +525,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 s = b.start[some[(mask[b.entry[some]] >> _U(o) & _U(1)).astype(bool)]] + o
                 np.add.at(delta, s, 1)
                 np.add.at(delta, s + length, -1)
+            pos, ids, group, w0, _, low = b.windows(np.flatnonzero(status == 3))
+            bits, cuts = np.zeros(len(w0), bool), Block.cuts(w0, parts)
+            for part, data in got.get(3, {}).items():
+                lo, hi = cuts[part], cuts[part + 1]
+                bits[lo:hi] = np.unpackbits(np.frombuffer(data, np.uint8), count=hi - lo)
+            if len(pos):
+                pos = pos[(ids > low[group]) | bits[group]]
+                np.add.at(delta, pos, 1)
+                np.add.at(delta, pos + length, -1)
             out = np.cumsum(delta[:-1]) > 0
             edge = out.copy()
             edge[1:] &= ~out[:-1]
@@ -460,9 +552,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     sent = spark.table(table).select("block", *base).mapInArrow(send_anchors, "part int, block long, a binary")
     one = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_anchors, reply))
     sent = with_answers(base, one).mapInArrow(send_contexts, "part int, block long, a binary, b binary, c binary, d binary")
-    two = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_contexts, reply))
-    sent = with_answers(base, one, two).mapInArrow(send_suffixes, "part int, block long, h binary, a binary, b binary, c binary")
-    three = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_suffixes(length), reply))
+    two = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_contexts(hot_all), reply))
+    sent = with_answers(base, one, two).mapInArrow(send_suffixes, "kind int, part int, block long, h binary, a binary, b binary, c binary")
+    three = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_answer_suffixes(length), f"kind int, {reply}"))
     return with_answers([*base, "rest"], one, two, three).mapInArrow(apply, schema)
 
 
