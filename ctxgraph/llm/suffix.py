@@ -189,7 +189,8 @@ class Block:
         self.word = words8(body)
         self.doc = np.searchsorted(self.ends, self.pos, "right")
         w, p = self.word, self.pos
-        self.hash = _mix(w[p], w[p + 8], w[p + 16]) if len(p) else np.empty(0, np.uint64)
+        # Anchors are minima of hashes, so all are small; an odd factor spreads them over the parts.
+        self.hash = _mix(w[p], w[p + 8], w[p + 16]) * _K[9] if len(p) else np.empty(0, np.uint64)
         self.distinct, self.which = np.unique(self.hash, return_inverse=True)
 
     def repeated(self, answers: dict, parts: int) -> "Block":
