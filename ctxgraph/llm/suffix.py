@@ -254,11 +254,13 @@ class Block:
         return out
 
     def windows(self, pick: np.ndarray):
-        """The windows of some entries: (position, id, group) of each, and the
-        groups of equal ones, (hashes, smallest id), in order of the first hash."""
+        """The windows of some entries: (entry, place in its context, id, group) of
+        each, and the groups of equal ones, (hashes, smallest id), in order of the
+        first hash."""
         at = self.first[pick]
         n = np.maximum(0, self.stop[at] - self.start[at] - self.length + 1)
-        pos = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pos = np.repeat(self.start[at], n) + nth
         ids = np.repeat(self.e_id[pick], n)
         a, b = np.full(len(pos), _K[4]), np.full(len(pos), _K[7])
         for k in [*range(0, self.length - 7, 8), self.length - 8]:
@@ -273,7 +275,7 @@ class Block:
         group = np.empty(len(by), np.int64)
         group[by] = np.cumsum(new) - 1
         rep = by[new]
-        return pos, ids, group, a[rep], b[rep], ids[rep]
+        return np.repeat(pick, n), nth, ids, group, a[rep], b[rep], ids[rep]
 
     @staticmethod
     def cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -497,7 +499,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         for _, _, name, b, got in opened(batches):
             b.repeated(got, parts)
             status = b.status(got, parts, hot)
-            _, _, _, w0, w1, low = b.windows(np.flatnonzero(status == 3))
+            *_, w0, w1, low = b.windows(np.flatnonzero(status == 3))
             cuts = Block.cuts(w0, parts)
             rows = [(3, p, name, w0[lo:hi].tobytes(), w1[lo:hi].tobytes(), low[lo:hi].tobytes(), b"") for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
             pick = np.flatnonzero(status == 2)
@@ -521,20 +523,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             mask, cuts = np.zeros(len(status), np.uint64), Block.cuts(b.e_hash[pick], parts)
             for part, data in got.get(2, {}).items():
                 mask[pick[cuts[part] : cuts[part + 1]]] = np.frombuffer(data, np.uint64)
-            some = np.flatnonzero(mask[b.entry])
-            for o in range(length - gram + 1):
-                s = b.start[some[(mask[b.entry[some]] >> _U(o) & _U(1)).astype(bool)]] + o
-                np.add.at(delta, s, 1)
-                np.add.at(delta, s + length, -1)
-            pos, ids, group, w0, _, low = b.windows(np.flatnonzero(status == 3))
+            entry, nth, ids, group, w0, _, low = b.windows(np.flatnonzero(status == 3))
             bits, cuts = np.zeros(len(w0), bool), Block.cuts(w0, parts)
             for part, data in got.get(3, {}).items():
                 lo, hi = cuts[part], cuts[part + 1]
                 bits[lo:hi] = np.unpackbits(np.frombuffer(data, np.uint8), count=hi - lo)
-            if len(pos):
-                pos = pos[(ids > low[group]) | bits[group]]
-                np.add.at(delta, pos, 1)
-                np.add.at(delta, pos + length, -1)
+            if len(entry):
+                hit = (ids > low[group]) | bits[group]
+                np.bitwise_or.at(mask, entry[hit], _U(1) << nth[hit].astype(np.uint64))
+            some = np.flatnonzero(mask[b.entry])  # every occurrence, those in one document too
+            for o in range(length - gram + 1):
+                s = b.start[some[(mask[b.entry[some]] >> _U(o) & _U(1)).astype(bool)]] + o
+                np.add.at(delta, s, 1)
+                np.add.at(delta, s + length, -1)
             out = np.cumsum(delta[:-1]) > 0
             edge = out.copy()
             edge[1:] &= ~out[:-1]

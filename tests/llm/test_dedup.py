@@ -115,6 +115,17 @@ def test_suffix_dedup(spark, documents):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in plain) == [(0, ""), (1, "k" * 60), (2, "éz"), (2, "éz")] and set(plain[0].asDict()) >= {"lang", "source", "n_chars"}
 
 
+def test_hot_anchors_lose_every_occurrence(spark, documents):
+    rng = random.Random(8)
+    piece = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = piece(70) + "\n", piece(200)
+    rows = [(1, piece(30) + line + piece(30) + passage + piece(1900))]  # a block of its own
+    rows += [(10 + i, piece(20) + line * 4 + piece(20) + (passage + "|") * 2 + line) for i in range(3)]
+    rows += [(20, line * 5), (21, piece(1990) + line * 3)]
+    for how in ({}, {"hot": 1}, {"hot_all": 1}, {"hot": 1, "hot_all": 1}):
+        check_suffix(spark, documents, rows, **how)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text("ab", max_size=400), st.integers(0, 3))
 def test_sorting_orders_suffixes(text, seed):
