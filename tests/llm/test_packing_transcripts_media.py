@@ -180,6 +180,34 @@ def test_copies_are_found(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
+def test_a_look_alike_that_comes_first_hides_no_copies(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = np.zeros(14, media.KEYPOINT)
+    points["d"] = rng.integers(0, 2**63, (14, 2), np.uint64)
+    points["s"], points["x"], points["y"] = 1, rng.uniform(0, 90, 14), rng.uniform(0, 90, 14)
+    other = points.copy()  # the same corners in another layout: no copy
+    other["x"], other["y"], other["a"] = rng.uniform(0, 90, 14), rng.uniform(0, 90, 14), rng.uniform(-3, 3, 14)
+    assert media.consensus(points, points) == 14 and media.consensus(other, points) < media.INLIERS
+    moved = points.copy()
+    moved["x"] += 5
+    rows = [(i, bytes([i]), len(p), p.tobytes()) for i, p in enumerate((other, points, moved))]
+    found = spark.createDataFrame(rows, "media_id long, digest binary, n_keypoints long, points binary").coalesce(1)
+    monkeypatch.setattr(media, "features", lambda images, key, name: found)
+    assert {r["media_id"]: r["class_id"] for r in media.copies(found).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_bucket_pairs_are_all_pairs():
+    rng = np.random.default_rng(1)
+    key, node, root = rng.integers(0, 9, 300).astype(np.uint64), rng.integers(0, 80, 300), np.zeros(300, np.int64)
+    root[:] = node // 3
+    d = np.full((300, 2), 0xF0F0, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64))
+    d[::5] = ~d[::5]
+    for block in (1, 50, 1 << 20):
+        got = sorted((int(x), int(y)) for a, b in media.bucket_pairs(key, node, root, d, block) for x, y in zip(a, b))
+        want = sorted((int(min(node[i], node[j])), int(max(node[i], node[j]))) for i in range(300) for j in range(i) if key[i] == key[j] and root[i] != root[j] and np.bitwise_count(d[i] ^ d[j]).sum() <= media.NEAR)
+        assert got == want
+
+
 def test_bucket_links_are_few_and_connect():
     rng = np.random.default_rng(0)
     d = np.repeat(rng.integers(0, 2**63, (1, 2), np.uint64), 500, 0)
