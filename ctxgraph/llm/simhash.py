@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component of ``docs``: that of the smallest key.
 
-    Of rows repeating a key within a component one stays; a row with a null key
-    stays if its component has no named member."""
+    Of rows repeating a key within a component one stays; of a component without a
+    named member one row with a null key stays."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash-keep")
     marked = scratch.keep(fingerprints(docs.select(key, text), text))
@@ -232,9 +232,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
         out = full.join(kept, (full[key] == kept["__key"]) & (full["fp"] == kept["__fp"])).dropDuplicates([key, "__root"]).select(*[full[c] for c in docs.columns])
     unnamed = docs.where(F.col(key).isNull())
     if not unnamed.isEmpty():
-        named = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
+        bare = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
         unnamed = fingerprints(unnamed.withColumn("__text", F.col(text)), "__text")
-        out = out.unionByName(unnamed.join(named, F.col("fp") == F.col("__fp"), "left_anti").select(*docs.columns))
+        out = out.unionByName(unnamed.join(bare, F.col("fp") == F.col("__fp")).dropDuplicates(["__root"]).select(*docs.columns))
     return out
 
 

@@ -91,6 +91,13 @@ def test_deduplicate(spark, documents):
     assert got == [(0, "a tex"), (1, "alpha"), (2, "somet"), (3, "an id")]  # the other text of id 3 goes with its group
 
 
+def test_deduplicate_keeps_one_of_copies_without_ids(spark, documents):
+    alone = "a text without any id that stands alone here"
+    rows = [(None, alone), (None, alone), (None, alone.upper()), (None, "another one, quite different from it"), (1, "alpha beta gamma delta epsilon"), (None, "alpha beta gamma delta epsilon")]
+    got = sorted((r["doc_id"] or 0, r["text"][:5].lower()) for r in simhash.deduplicate(documents(rows)).collect())
+    assert got == [(0, "a tex"), (0, "anoth"), (1, "alpha")]
+
+
 def check_suffix(spark, documents, rows, **how):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(documents(rows), digest=True, block_bytes=2000, **how).collect()}
     want = {i: (n, g, s, hashlib.sha256(k).hexdigest()) for i, (n, g, s, k) in suffix.brute([(i, (t or "").encode()) for i, t in rows]).items()}
