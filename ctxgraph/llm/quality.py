@@ -1,14 +1,16 @@
 """Compression classifier: zstandard dictionaries of good and bad text.
 
 One dictionary is trained on texts labelled good, one on texts labelled bad.  A
-text is compressed with each; the normalised difference of the two sizes, with
-the size under no dictionary, goes through a logistic curve fitted on labelled
-rows that no dictionary saw, and becomes a probability of label 1.
+text is compressed with each; the difference of the two sizes, divided by the
+square root of the text's length (differences of sizes spread like it), is the
+only input of a rising logistic curve.  The curve is fitted on labelled rows that
+no dictionary saw and turns the difference into a probability of label 1.
 
 Bounds of the fit (parameters of :func:`fit`): the dictionaries learn from at
-most ``max_rows`` rows a label, whole texts of at most ``max_bytes`` bytes each;
-the curve learns from numbers of at most ``max_rows`` further rows a label.
-Scoring reads whole texts of all rows, in batches.
+most ``max_rows`` rows a label, whole texts of at most ``max_bytes`` bytes each
+(96 MB at the driver at most); the curve learns from one number of at most
+``max_rows`` further rows a label.  Scoring reads whole texts of all rows, in
+batches.
 
 Defined results: a null or empty text has its own score, the smoothed share of
 label 1 among short labelled texts; null labels are ignored and a document
@@ -28,14 +30,14 @@ from pyspark.sql import types as T
 
 from .common import tune
 
-THRESHOLD, DICT_BYTES, LEVEL, MAX_ROWS, MAX_BYTES = 0.3, 112_640, 3, 3000, 1 << 17
+THRESHOLD, DICT_BYTES, LEVEL, MAX_ROWS, MAX_BYTES = 0.3, 32_768, 3, 3000, 1 << 14
 
 
 class Model:
-    """Two dictionaries, the curve's weights and the score of an empty text."""
+    """Two dictionaries, the curve (centre, slope) and the score of an empty text."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: list[float], empty: float):
-        self.good, self.bad, self.weights, self.empty = good, bad, weights, empty
+    def __init__(self, good: bytes, bad: bytes, curve: tuple[float, float] | None, empty: float):
+        self.good, self.bad, self.curve, self.empty = good, bad, curve, empty
 
     def compressors(self):
         out = []
@@ -43,41 +45,33 @@ class Model:
             d = zs.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
             out.append(zs.ZstdCompressor(dict_data=d, write_checksum=False))
-        return [*out, zs.ZstdCompressor(level=LEVEL, write_checksum=False)]
+        return out
 
 
-def features(text: bytes, good, bad, plain) -> tuple[float, float, float, float]:
-    """Normalised size differences and the plain ratio of one text."""
-    n = len(text)
-    g, b, p = len(good.compress(text)), len(bad.compress(text)), len(plain.compress(text))
-    return ((b - g) / n, (b - g) / max(b, g), p / n, float(np.log(n)))
+def difference(text: bytes, good, bad) -> float:
+    """Size under the bad dictionary less that under the good one, normalised."""
+    return (len(bad.compress(text)) - len(good.compress(text))) / len(text) ** 0.5
 
 
-def _design(x: np.ndarray) -> np.ndarray:
-    d, r, p, n = x.T
-    return np.stack([np.ones_like(d), d, r, p, n, d * n, p * n, p * p, d * p], axis=1)
+def _score(x: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[1] * (x - curve[0]), -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
-    """Ridge logistic regression by Newton steps on standardised columns."""
-    mean, std = x.mean(0), x.std(0)
-    mean[0], std[std == 0] = 0.0, 1.0
-    std[0] = 1.0
-    z, w = (x - mean) / std, np.zeros(x.shape[1])
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """(centre, slope) of the logistic curve of y over x, by Newton steps; the
+    slope is never negative: a larger difference never lowers the score."""
+    mean, std = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([np.ones_like(x), (x - mean) / std], axis=1)
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(len(w))
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * np.eye(2)
         step = np.linalg.solve(h, z.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    w = w / std
-    w[0] -= (w[1:] * mean[1:]).sum()
-    return w.tolist()
-
-
-def _score(x: np.ndarray, weights: list[float]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(_design(x) @ np.array(weights), -30, 30)))
+    slope = max(float(w[1]) / std, 1e-9)
+    return mean - float(w[0]) / slope, slope
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
@@ -98,27 +92,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     try:
         bad, good = (zs.train_dictionary(DICT_BYTES, t).as_bytes() for t in texts)
     except zs.ZstdError:
-        return Model(b"", b"", [], share)
-    model = Model(good, bad, [], share)
+        return Model(b"", b"", None, share)
+    model = Model(good, bad, None, share)
 
     def numbers(batches):
         tools = model.compressors()
         for batch in batches:
-            rows = [(*features(t.encode(), *tools), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(5)], names=list("drpny"))
+            rows = [(difference(t.encode(), *tools), float(len(t.encode())), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(3)], names=list("dny"))
 
     rest = joined.where("__fold = 1").select("__t", F.col("__y").cast("double"))
-    got = np.array([list(r) for r in rest.mapInArrow(numbers, "d double, r double, p double, n double, y double").collect()])
-    if not len(got) or len(set(got[:, 4])) < 2:
+    got = np.array([list(r) for r in rest.mapInArrow(numbers, "d double, n double, y double").collect()])
+    if not len(got) or len(set(got[:, 2])) < 2:
         return model
     got = got[np.lexsort(got.T)]  # the same fit in whatever order rows arrive
-    # Rows of either label are sampled to the same bound; weight them back to their true share.
+    centre, slope = calibrate(got[:, 0], got[:, 2])
+    # Rows of either label are sampled to the same bound; move the centre back to their true share.
     n1 = labels.agg(F.avg("__y")).first()[0] or 0.5
-    s1 = got[:, 4].mean()
-    model.weights = _logistic(_design(got[:, :4]), got[:, 4])
-    model.weights[0] += float(np.log(n1 / (1 - n1)) - np.log(s1 / (1 - s1))) if 0 < n1 < 1 else 0.0
-    short = got[got[:, 3] < np.log(40)]
-    model.empty = float((short[:, 4].sum() + 1) / (len(short) + 4))
+    s1 = got[:, 2].mean()
+    if 0 < n1 < 1:
+        centre -= float(np.log(n1 / (1 - n1)) - np.log(s1 / (1 - s1))) / slope
+    model.curve = (centre, slope)
+    short = got[got[:, 1] < 40]
+    model.empty = float((short[:, 2].sum() + 1) / (len(short) + 4))
     return model
 
 
@@ -130,13 +126,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        tools = model.compressors() if model.weights else None
+        tools = model.compressors() if model.curve else None
         for batch in batches:
             body = [t.encode() if t else b"" for t in batch.column(at).to_pylist()]
             s = np.full(len(body), model.empty)
             full = [i for i, t in enumerate(body) if t and tools]
             if full:
-                s[full] = _score(np.array([features(body[i], *tools) for i in full]), model.weights)
+                s[full] = _score(np.array([difference(body[i], *tools) for i in full]), model.curve)
             s = np.round(s, 9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 

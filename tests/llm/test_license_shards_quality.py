@@ -78,3 +78,35 @@ def test_quality(spark, documents):
     assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i in again)
     none = quality.fit(docs.limit(0), labels.limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5} and quality.score(docs.limit(0), none).count() == 0
+
+
+def test_quality_on_the_labelled_tables(spark):
+    import numpy as np
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    assert model.curve[1] > 0
+    score = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    held = [(score[r["doc_id"]], r["quality"]) for r in labels.where(quality.held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).collect() if r["doc_id"] in score]
+    good, bad = (np.array([s for s, y in held if y == k]) for k in (1, 0))
+    assert (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2 >= 0.95
+    assert (good >= 0.3).mean() >= 0.95
+
+
+def test_interleave_by_brute_force(spark, documents):
+    rng = __import__("random").Random(4)
+    rows = [(i, "t", rng.choice(["hot", "hot", "hot", "a", None])) for i in range(333)]
+    strata: dict = {}
+    for k, _, source in rows:
+        strata.setdefault(source, []).append(k)
+    places = []
+    for source, ids in strata.items():
+        ranked = sorted(ids, key=lambda k: hashlib.md5(f"{sharding.SEED}:{k}".encode()).hexdigest())
+        places += [((2 * r + 1) / (2 * len(ids)), hashlib.md5(f"{sharding.SEED}:{k}".encode()).hexdigest(), k) for r, k in enumerate(ranked)]
+    want, slots = {}, [0] * 16
+    for p, (_, _, k) in enumerate(sorted(places)):
+        shard = p * 16 // len(rows)
+        want[k] = (shard, slots[shard])
+        slots[shard] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleave(documents(rows)).collect()} == want
