@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import tune
 
@@ -239,7 +240,7 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text", half: in
         own = items.where(shard == s)
         words = cut.where(shard == s).select(F.explode("terms").alias("w")).distinct()
         counts = {r[0]: r[1] for r in df.join(words, "w", "left_semi").collect()}  # the shard's words at most
-        rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
         yield Index(rows, counts, total, length / total, half, theta, overlap)
 
 
@@ -250,6 +251,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     tune(spark)
     docs = docs.select(key, text)
     schema = T.StructType([docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType), *(T.StructField(n, T.DoubleType()) for n in ("score", "question", "answer"))])
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     out = spark.createDataFrame([], schema)
     for index in indexes(items, item_key, **how):
         shared = spark.sparkContext.broadcast(index)
@@ -262,7 +264,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                     where += [i] * len(hits)
                     rows += [(index.items[n][0], *(round(x, 4) for x in rest)) for n, *rest in hits]
                 column = batch.column(0).take(pa.array(where, pa.int64()))
-                yield pa.RecordBatch.from_arrays([column, pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[j] for r in rows], pa.float64()) for j in (1, 2, 3))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([column, pa.array([r[0] for r in rows], item_type), *(pa.array([r[j] for r in rows], pa.float64()) for j in (1, 2, 3))], names=schema.names)
 
         out = out.unionByName(docs.mapInArrow(run, schema))
     return out

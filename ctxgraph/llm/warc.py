@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 
@@ -31,6 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, tune
 
@@ -45,12 +47,19 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def safe_uri(uri: str) -> str:
+    """``uri`` fit for a header line: control characters, and spaces at its ends,
+    are percent-encoded, so that no address can end a line or bear a header."""
+    quote = lambda m: "".join(f"%{b:02X}" for b in m[0].encode())
+    return re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]|^\s+|\s+$", quote, uri)
+
+
 def record(record_id: str, uri: str, payload: bytes, sha1: str, refers_to: str | None = None) -> bytes:
     """One record, not compressed: a response, or a revisit without payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {safe_uri(uri)}",
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{digest32(block)}",
     ]
     if refers_to is not None:
@@ -139,6 +148,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return the table of files: path, records, bytes."""
     spark = pages.sparkSession
     tune(spark)
+    if not isinstance(pages.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{key} must be a whole number: records are named by it")
     scratch = scratch or Scratch(spark, "warc")
     body = F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("html"), F.sha1(body).alias("sha1"))

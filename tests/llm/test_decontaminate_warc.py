@@ -93,6 +93,25 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_addresses_cannot_bear_headers(spark):
+    rows = [(1, "http://a\r\n\r\nx", "one"), (2, "http://b\r\nWARC-Record-ID: <urn:page:99>", "two"), (3, " \x00 \n", "three"), (4, "http://é/?a=b c%0D", "four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["payload_digest"] for r in warc.round_trip(pages).collect()}
+    assert got == {i: digest(h.encode()) for i, _, h in rows}
+    assert warc.safe_uri(rows[3][1]) == rows[3][1] and "\n" not in warc.safe_uri(rows[1][1])
+    with pytest.raises(ValueError):
+        warc.round_trip(pages.withColumn("page_id", F.col("url")))
+
+
+def test_items_of_other_keys(spark, documents):
+    leak = " ".join(f"word{i}" for i in range(40))
+    docs = documents([(1, "before " + leak + " after"), (2, "nothing of it here"), (3, None)])
+    for kind, value in (("string", "i-7"), ("int", 7), ("date", __import__("datetime").date(2024, 1, 2))):
+        items = spark.createDataFrame([(value, leak), (None, "some other words stand here alone")], f"item_id {kind}, text string")
+        assert [(r["doc_id"], r["item_id"]) for r in D.find(docs.withColumn("score", F.lit("x")), items).collect()] == [(1, value)]
+        assert sorted(r["doc_id"] for r in D.clean(docs, items).collect()) == [2, 3]
+
+
 def test_reader_checks(spark, tmp_path):
     good = warc.record("urn:a", "http://a", b"payload", digest(b"payload"))
     whole = warc.gzip_member(good)
