@@ -14,6 +14,9 @@ Only distinct fingerprints are indexed.  Look-ups go to tasks by a hash of
 of its links, never the pairs of a group.  Components are joined up by star
 contraction over shuffles.
 
+``deduplicate`` groups by verified similarity of shingle sets instead, as
+``similar_groups`` tells.
+
 Defined results: null or empty text (no words) has fingerprint zero, linked
 like any other; fewer words than a shingle make one shingle of all words;
 rows repeating an id keep one row each; a null id takes part in links under no
@@ -22,6 +25,7 @@ name (its component is that of the smallest named member, else null).
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +38,8 @@ from pyspark.sql import types as T
 from .common import Scratch, connected_components, forest, tune
 
 WORDS, SEED, RADIUS = 4, 42, 4
+#: Of the grouping by similarity: shingle words, least similarity, bits apart at most, bands and their minima.
+STAGE_WORDS, SIMILARITY, STAGE_RADIUS, BANDS, ROWS = 5, 0.8, 24, 20, 4
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -213,31 +219,122 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return components(fingerprints(docs.select(key, text), text), key, radius).drop("root")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``: that of the smallest key.
-
-    Of rows repeating a key within a component one stays; of a component without a
-    named member one row with a null key stays."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash-keep")
-    marked = scratch.keep(fingerprints(docs.select(key, text), text))
-    found = scratch.keep(components(marked, key, radius))
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        kept = scratch.keep(kept)  # its size decides between broadcast and shuffle
-        out = docs.join(kept, docs[key] == kept["__key"], "left_semi")
-    else:  # some id is there twice: its rows are told apart by their fingerprints
-        kept = scratch.keep(kept.distinct())
-        full = fingerprints(docs.withColumn("__text", F.col(text)), "__text")
-        out = full.join(kept, (full[key] == kept["__key"]) & (full["fp"] == kept["__fp"])).dropDuplicates([key, "__root"]).select(*[full[c] for c in docs.columns])
-    unnamed = docs.where(F.col(key).isNull())
-    if not unnamed.isEmpty():
-        bare = found.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-        unnamed = fingerprints(unnamed.withColumn("__text", F.col(text)), "__text")
-        out = out.unionByName(unnamed.join(bare, F.col("fp") == F.col("__fp")).dropDuplicates(["__root"]).select(*docs.columns))
+def signature(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A number per band: the band's smallest hashes under ``rows`` orders, mixed
+    with the band's number.  Sets of similarity s share a band with 1 - s**rows."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    n = bands * rows
+    add, odd = np.random.default_rng(n).integers(0, 1 << 63, (2, n), np.uint64)
+    odd |= np.uint64(1)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):  # memory stays bounded for long texts
+        x = (hashes[at : at + 2048] ^ add[:, None]) * odd[:, None]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        low = np.minimum(low, x.min(1))
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        out = (out ^ low[r::rows]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
     return out
 
 
+def _marked(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """key, raw (digest of the text), same (digest of its words), fp, bands and
+    the distinct shingles (32 bits of their hashes, sorted) of every row."""
+    tune(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.select(F.col(key), F.unhex(F.md5(body.cast("binary"))).alias("raw"), body.alias("t"))
+    schema = T.StructType([docs.schema[0], T.StructField("raw", T.BinaryType()), T.StructField("same", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            same, fp, bands, shingles = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                ws = t.encode().lower().split()
+                same.append(hashlib.md5(b" ".join(ws)).digest())
+                h = np.unique(shingle_hashes(t, words))
+                fp.append(fingerprint(h))
+                bands.append(signature(h).view(np.int64))
+                shingles.append(np.unique(h.astype(np.uint32)).view(np.int32))
+            lists = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs) if xs else [], kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists(bands, pa.int64()), lists(shingles, pa.int32())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity or more.
+
+    ``a`` may be one node in very many pairs: its rows are salted."""
+    salts = 8
+    heads = shingles.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    heads = heads.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    own = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(own, "b").withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(heads, ["a", "__salt"])
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
+    """key, raw (digest of the text) and root of every row: rows share a root if
+    links of ``similarity`` or more between their sets of shingles join them.
+
+    Radius tables alone cannot do this: at similarity 0.8 fingerprints lie about
+    ten bits apart, and balls of that size outnumber the documents.  So texts meet
+    where a band of their shingles' minima is equal (all but 3 in 100,000 pairs at
+    just 0.8 do), fingerprints further apart than ``radius`` bits are passed over, and
+    the shingles of what is left are compared in full."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    marked = scratch.keep(_marked(docs, key, text, words).withColumn("uid", F.monotonically_increasing_id()))
+    # Rows of equal words are one node from here on, named by one of its rows.
+    names = scratch.keep(marked.groupBy("same").agg(F.min("uid").alias("node")))
+    nodes = marked.join(names.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "fp", "bands", "shingles")
+    nodes = scratch.keep(nodes, "zstd")
+    entries = scratch.keep(nodes.select("node", "fp", F.explode("bands").alias("band")))
+    shingles = nodes.select("node", "shingles")
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+
+    # First each node with the first of its bands' first nodes: a crowd of copies gives a link a copy.
+    heads = entries.groupBy("band").agg(F.min(F.struct("node", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salts = 8
+    heads = heads.select("band", F.col("h.node").alias("head"), F.col("h.fp").alias("head_fp"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(heads, ["band", "salt"]).where((F.col("head") < F.col("node")) & near("fp", "head_fp"))
+    first = scratch.keep(_similar(met.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), shingles, similarity))
+    roots = scratch.keep(connected_components(first, scratch))
+
+    # Then all pairs of a band whose classes still differ; most bands hold one class by now.
+    rooted = entries.join(roots, "node", "left").select("band", "node", "fp", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    rooted = scratch.keep(rooted.join(mixed, "band", "left_semi"))
+    left = rooted.select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"))
+    right = rooted.select("band", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    more = left.join(right, ["band", "salt"]).where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b").distinct()
+    second = scratch.keep(_similar(scratch.keep(more), shingles, similarity))
+    if not second.isEmpty():
+        roots = scratch.keep(connected_components(first.unionByName(second), scratch))
+    name = names.join(roots, "node", "left").select(F.col("same").alias("__same"), F.coalesce("root", "node").alias("root"))
+    return marked.join(name, marked["same"] == name["__same"]).select(key, "raw", "root")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of ``similar_groups``: that of the smallest key, a
+    null key last; of rows that repeat it, that of the smallest digest.  Texts
+    without words are one group.  Columns pass through, whatever their names."""
+    scratch = Scratch(docs.sparkSession, "simhash-keep")
+    found = scratch.keep(similar_groups(docs, key, text, words, similarity))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "raw")).alias("x"), F.count(F.lit(1)).alias("n"))
+    best = scratch.keep(best.select(F.col("x.key").alias("__key"), F.col("x.raw").alias("__raw")))  # its size decides between broadcast and shuffle
+    out = docs.join(best, docs[key].eqNullSafe(best["__key"]) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == best["__raw"]), "left_semi")
+    if found.groupBy(key, "raw").count().where("count > 1").isEmpty():
+        return out
+    # Rows alike in key and text are told apart by nothing: one of each stays.
+    marks = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    out = out.select(*[docs[c].alias(m) for c, m in marks.items()]).withColumn("__raw", F.md5(F.coalesce(F.col(marks[text]), F.lit("")).cast("binary")))
+    return out.dropDuplicates([marks[key], "__raw"]).select(*[F.col(m).alias(c) for c, m in marks.items()])
+
+
 def hex16(fp):
     """A signed long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -427,6 +427,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """``docs`` with repeated bytes removed from ``text``, and n_bytes,
     n_removed, n_spans.  With ``digest`` the text is replaced by kept_sha256."""
     spark, gram = docs.sparkSession, GRAM
+    if not SHALLOW + 8 <= length <= gram + 63:  # an anchor's windows fit a 64-bit mask
+        raise ValueError(f"length must be {SHALLOW + 8} to {gram + 63}")
     parts = tune(spark)
     scratch = Scratch(spark, "suffix")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "__block")

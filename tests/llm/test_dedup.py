@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,56 @@ def test_sorting_orders_suffixes(text, seed):
     order, joined = suffix.sort_suffixes(body, starts)
     keys = [body[s : s + 50] for s in starts[order]]
     assert keys == sorted(keys) and [bool(j) for j in joined] == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
+
+
+def similar(texts, words=5, least=0.8):
+    """Groups (sets of places) of texts by links of Jaccard similarity; by all pairs."""
+    def grams(t):
+        ws = "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).split(" ")
+        ws = [w for x in ws for w in x.split()]
+        return frozenset(tuple(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1)))
+
+    sets = [grams(t) for t in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return [{j for j in range(len(sets)) if group[j] == g} for g in dict.fromkeys(group)]
+
+
+def test_near_copies_of_similarity_are_one(spark, documents):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        ws = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 9, 60, 200, 2500]))]
+        rows.append((10 * i + 5, " ".join(ws)))
+        for k in range(rng.randint(0, 4)):  # edits that leave similarities on both sides of 0.8
+            edited = list(ws)
+            for _ in range(rng.randint(1, 2 + len(ws) // 40)):
+                edited[rng.randrange(len(edited))] = f"e{rng.random()}"
+            rows.append((10 * i + 6 + k, "  ".join(edited).upper() if k == 2 else " ".join(edited)))
+    rows += [(1000 + i, "a hot passage that very many documents share word by word " * 3 + f"end {i // 40}") for i in range(120)]
+    rows += [(2000, None), (2001, ""), (2002, " "), (2003, "x y"), (2004, "X  y"), (2005, "x " * 9000), (2006, "x " * 8000)]
+    groups = similar([t for _, t in rows])
+    want = sorted({min(rows[j][0] for j in g) for g in groups})
+    docs = documents(rows).withColumn("fp", F.lit("clash")).withColumn("root", F.lit(1)).withColumn("raw", F.lit(2)).withColumn("bands", F.lit(3))
+    got = simhash.deduplicate(docs.repartition(5))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted(r["doc_id"] for r in kept) == want and {(r["fp"], r["root"], r["raw"], r["bands"]) for r in kept} == {("clash", 1, 2, 3)}
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_length_bounds(spark, documents):
+    rng = random.Random(3)
+    piece = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = piece(300)
+    rows = [(i, piece(90) + shared[i : i + 120] + piece(60)) for i in range(12)]
+    for length in (32, 87):
+        got = {r["doc_id"]: r["kept_sha256"] for r in suffix.dedup(documents(rows), length=length, digest=True, block_bytes=600).collect()}
+        assert got == {i: hashlib.sha256(k).hexdigest() for i, (*_, k) in suffix.brute([(i, t.encode()) for i, t in rows], length).items()}
+    for length in (31, 88, 100):
+        with pytest.raises(ValueError):
+            suffix.dedup(documents(rows), length=length)
