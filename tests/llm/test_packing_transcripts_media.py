@@ -73,6 +73,23 @@ def test_plan_fills_windows():
     assert set(seqs.values()) == {2048} and packing.plan(np.zeros(2049, np.int64)) == []
 
 
+def test_the_solver_places_nearly_all_heads():
+    rng = np.random.default_rng(1)
+    for n in (1000, 30_000):
+        rest = (rng.lognormal(6.4, 1, n).astype(np.int64) + 1) % 2048
+        h = np.bincount(rest - rest % 64, minlength=2049)
+        h[0] = 0
+        combos = packing.combinations()
+        combos = combos[(np.where(combos > 0, h[combos], 1) > 0).all(1)]
+        counts = np.rint(packing.nnls(combos, h))
+        use = np.bincount(combos.ravel(), weights=np.repeat(counts, combos.shape[1]), minlength=2049)[1:]
+        assert np.minimum(use, h[1:]).sum() >= 0.9 * h.sum()  # by the rounded counts alone
+        assert sum(hi - lo for _, lo, hi, _, _ in packing.plan(h)) >= 0.98 * h.sum()
+    hot = np.zeros(2049, np.int64)
+    hot[192] = 10_000  # three cells never fill a window: all are left to be cut
+    assert packing.plan(hot) == [] and sum(1 for p in packing.partitions(6, 6, 6)) == 11
+
+
 def test_nnls_is_near_the_least_squares_optimum():
     h = np.zeros(2049)
     h[[1000, 1048, 512, 1024]] = [30, 50, 40, 10]
