@@ -40,6 +40,8 @@ from .common import Scratch, connected_components, forest, tune
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Of the grouping by similarity: shingle words, least similarity, bits apart at most, bands and their minima.
 STAGE_WORDS, SIMILARITY, STAGE_RADIUS, BANDS, ROWS = 5, 0.8, 24, 20, 4
+#: Texts of a band that are compared all with all; parts of a crowded key.
+CROWD, _SALTS = 16, 8
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -268,11 +270,10 @@ def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     """The pairs (a, b) whose shingle sets have that Jaccard similarity or more.
 
     ``a`` may be one node in very many pairs: its rows are salted."""
-    salts = 8
     heads = shingles.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    heads = heads.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    heads = heads.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt"))
     own = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(own, "b").withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).join(heads, ["a", "__salt"])
+    both = pairs.join(own, "b").withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")).join(heads, ["a", "__salt"])
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -285,35 +286,61 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     ten bits apart, and balls of that size outnumber the documents.  So texts meet
     where a band of their shingles' minima is equal (all but 3 in 100,000 pairs at
     just 0.8 do), fingerprints further apart than ``radius`` bits are passed over, and
-    the shingles of what is left are compared in full."""
+    the shingles of what is left are compared in full.
+
+    No group is compared all with all.  In each band every text is compared with the
+    leader of another class, the one that shares the most bands with others (the text
+    that a crowd was copied from shares more than the copies do), in rounds until no
+    round finds a link.  Bands of at most ``CROWD`` texts are then compared in full; of
+    a larger band, only links of which neither end leads in any band can be missed."""
     scratch = Scratch(docs.sparkSession, "similar")
     marked = scratch.keep(_marked(docs, key, text, words).withColumn("uid", F.monotonically_increasing_id()))
     # Rows of equal words are one node from here on, named by one of its rows.
     names = scratch.keep(marked.groupBy("same").agg(F.min("uid").alias("node")))
     nodes = marked.join(names.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "fp", "bands", "shingles")
     nodes = scratch.keep(nodes, "zstd")
-    entries = scratch.keep(nodes.select("node", "fp", F.explode("bands").alias("band")))
-    shingles = nodes.select("node", "shingles")
+    entries = nodes.select("node", "fp", F.explode("bands").alias("band"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-
-    # First each node with the first of its bands' first nodes: a crowd of copies gives a link a copy.
-    heads = entries.groupBy("band").agg(F.min(F.struct("node", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    salts = 8
-    heads = heads.select("band", F.col("h.node").alias("head"), F.col("h.fp").alias("head_fp"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(heads, ["band", "salt"]).where((F.col("head") < F.col("node")) & near("fp", "head_fp"))
-    first = scratch.keep(_similar(met.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a")), shingles, similarity))
-    roots = scratch.keep(connected_components(first, scratch))
-
-    # Then all pairs of a band whose classes still differ; most bands hold one class by now.
-    rooted = entries.join(roots, "node", "left").select("band", "node", "fp", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rooted = scratch.keep(rooted.join(mixed, "band", "left_semi"))
-    left = rooted.select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"))
-    right = rooted.select("band", F.col("node").alias("a"), F.col("fp").alias("a_fp"), F.col("root").alias("a_root"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    more = left.join(right, ["band", "salt"]).where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b").distinct()
-    second = scratch.keep(_similar(scratch.keep(more), shingles, similarity))
-    if not second.isEmpty():
-        roots = scratch.keep(connected_components(first.unionByName(second), scratch))
+    every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")
+
+    # Only bands that two nodes or more share go on, with each node's number of meetings.
+    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", every)
+    shared = scratch.keep(entries.withColumn("salt", salt).join(sizes, ["band", "salt"]).drop("salt"))
+    meetings = shared.groupBy("node").agg(F.sum("n").alias("pop"))
+    shared = scratch.keep(shared.join(meetings, "node"))
+    shingles = scratch.keep(nodes.select("node", "shingles").join(scratch.keep(shared.select("node").distinct()), "node", "left_semi"), "zstd")
+
+    roots = links = tested = None
+    while True:
+        rooted = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = scratch.keep(rooted)
+        per = scratch.keep(rooted.groupBy("band", "root").agg(F.max(F.struct("pop", "node", "fp")).alias("h")))
+        one = per.groupBy("band").agg(F.max(F.struct("h", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("x.h").alias("h1"), F.col("x.root").alias("r1"))
+        two = per.join(one.select("band", "r1"), "band").where("root <> r1").groupBy("band").agg(F.max("h").alias("h2"))
+        leaders = one.join(two, "band").select("*", every)
+        met = rooted.withColumn("salt", salt).join(leaders, ["band", "salt"]).withColumn("h", F.when(F.col("root") == F.col("r1"), F.col("h2")).otherwise(F.col("h1")))
+        met = met.select(F.col("node").alias("b"), "fp", F.col("h.node").alias("a"), F.col("h.fp").alias("a_fp"), F.col("h.pop").alias("pop")).where(near("fp", "a_fp"))
+        if roots is None:  # a crowd of copies gives a link a copy
+            met = met.groupBy("b").agg(F.max(F.struct("pop", "a")).alias("x")).select("b", "x.a")
+        else:
+            met = met.select("b", "a").distinct().join(tested, ["b", "a"], "left_anti")
+        met = scratch.keep(met.select("a", "b"))
+        found = scratch.keep(_similar(met, shingles, similarity))
+        tested = met if tested is None else tested.unionByName(met)
+        first = links is None
+        links = found if first else links.unionByName(found)
+        if found.isEmpty() and not first:
+            break
+        roots = scratch.keep(connected_components(links, scratch))
+
+    small = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"lo < hi AND n <= {CROWD}").select("band")
+    left = scratch.keep(rooted.join(small, "band", "left_semi").select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root")))
+    right = left.select("band", F.col("b").alias("a"), F.col("b_fp").alias("a_fp"), F.col("b_root").alias("a_root"))
+    more = left.join(right, "band").where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b").distinct()
+    found = scratch.keep(_similar(scratch.keep(more.join(tested, ["a", "b"], "left_anti")), shingles, similarity))
+    if not found.isEmpty():
+        roots = scratch.keep(connected_components(links.unionByName(found), scratch))
     name = names.join(roots, "node", "left").select(F.col("same").alias("__same"), F.coalesce("root", "node").alias("root"))
     return marked.join(name, marked["same"] == name["__same"]).select(key, "raw", "root")
 
