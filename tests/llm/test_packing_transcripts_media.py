@@ -231,3 +231,40 @@ def test_bucket_links_are_few_and_connect():
     d[:, 0] ^= np.uint64(1) << rng.integers(0, 60, 500).astype(np.uint64)
     a, b = media.bucket_links(np.zeros(500, np.uint64), np.arange(500), d)
     assert len(a) == 499 and set(a) == {0}
+
+
+def edited(p, rng):
+    """(name, edited copy) of a picture."""
+    def scaled(f):
+        n = int(round(p.shape[0] * f))
+        return np.clip(media._resize(media._box(p.astype(float), 1) / 9 if f < 1 else p.astype(float), n, n), 0, 255)
+
+    n = p.shape[0]
+    yield "crop", p[n // 10 : n * 9 // 10, n // 8 :]
+    yield "noise", np.clip(p + rng.normal(0, 6, p.shape), 0, 255)
+    yield "brightness", np.clip(p * 0.7 + 40, 0, 255)
+    yield "turn", np.rot90(p)
+    for f in (0.75, 1.4, 2):
+        yield f"scale {f}", scaled(f)
+    if n >= 160:
+        yield "scale 0.5", scaled(0.5)
+
+
+def test_candidates_keep_nine_in_ten_of_what_verification_accepts(spark):
+    rng = np.random.default_rng(21)
+    for side, count in ((64, 12), (160, 4)):
+        pictures, accepted = [], []
+        for i in range(count):
+            base = media.picture(rng.normal(size=32), side)
+            pictures.append(media.describe(base[None])[0])
+            own = len(pictures) - 1
+            for name, copy in edited(base, rng):
+                pictures.append(media.describe(np.asarray(copy, np.uint8)[None])[0])
+                if media.consensus(pictures[own], pictures[-1]) >= media.INLIERS:
+                    accepted.append((own, len(pictures) - 1, name))
+        nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(pictures)], "node long, points binary")
+        found = {(r["a"], r["b"]) for r in media.candidates(nodes).collect()}
+        assert len(accepted) >= 0.9 * count * (7 if side == 64 else 8)
+        for kind in {name for *_, name in accepted}:
+            own = [(a, b) in found for a, b, name in accepted if name == kind]
+            assert np.mean(own) >= 0.9, (side, kind, np.mean(own))
