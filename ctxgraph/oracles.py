@@ -138,7 +138,7 @@ SELECT 'callers' AS direction, min(d) AS depth, id FROM up GROUP BY id HAVING mi
 p AS (SELECT [id] AS path, id AS here, 0 AS hops FROM v_nodes WHERE name = 'Supplier#000000007' UNION ALL
   SELECT list_append(path, b), b, hops + 1 FROM p JOIN s ON s.a = p.here WHERE hops < 6 AND NOT list_contains(path, b) AND here <> (SELECT id FROM v_nodes WHERE name = 'ASIA'))
 SELECT hops, array_to_string(path, '>') AS path FROM p WHERE here = (SELECT id FROM v_nodes WHERE name = 'ASIA') ORDER BY hops, p.path LIMIT 10""",
-    "bridges": "WITH piv AS (SELECT id FROM v_nodes WHERE kind = 'struct' AND file_id < 10), e AS (SELECT * FROM v_edges WHERE kind IN ('calls', 'imports', 'implements', 'extends')) SELECT DISTINCT id FROM (SELECT target_node_id AS id FROM e WHERE source_node_id IN (SELECT id FROM piv) UNION SELECT source_node_id FROM e WHERE target_node_id IN (SELECT id FROM piv)) WHERE id NOT IN (SELECT id FROM piv)",
+    "bridges": "WITH piv AS (SELECT id FROM v_nodes WHERE kind = 'struct'), e AS (SELECT * FROM v_edges WHERE kind IN ('calls', 'imports', 'implements', 'extends')) SELECT DISTINCT id FROM (SELECT target_node_id AS id FROM e WHERE source_node_id IN (SELECT id FROM piv) UNION SELECT source_node_id FROM e WHERE target_node_id IN (SELECT id FROM piv)) WHERE id NOT IN (SELECT id FROM piv)",
     "resolve_refs": rf"""WITH xn AS (SELECT id, file_id, kind, name, qualified_name, visibility, is_export OR id % 3 = 0 AS is_export FROM v_nodes), pub AS (SELECT n.*, f.path FROM xn n LEFT JOIN v_files f ON f.id = n.file_id WHERE {_ALLOWED}),
 imp AS (SELECT DISTINCT s.file_id AS a, t.file_id AS b FROM v_edges e JOIN v_nodes s ON s.id = e.source_node_id JOIN v_nodes t ON t.id = e.target_node_id WHERE e.kind = 'imports'),
 c AS (SELECT r.id AS ref_id, r.source_node_id, pub.id AS target_node_id, r.edge_kind, pub.kind AS nk, imp.a IS NOT NULL AS i,
@@ -169,7 +169,7 @@ m AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY file_id ORDER B
 i AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT file_id, min(a) AS line_start, max(b) AS line_end, count(*) AS n FROM i GROUP BY file_id, island""",
     "excerpt_choice": """WITH l AS (SELECT id AS file_id, content, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS total_lines FROM v_files),
-m AS (SELECT file_id, count(*) AS matched FROM v_nodes WHERE kind = 'function' AND id % 5 = 0 GROUP BY 1), c AS (SELECT file_id, count(*) AS node_count FROM v_nodes GROUP BY 1)
+m AS (SELECT file_id, count(*) AS matched FROM v_nodes WHERE kind = 'function' GROUP BY 1), c AS (SELECT file_id, count(*) AS node_count FROM v_nodes GROUP BY 1)
 SELECT l.file_id, CAST(total_lines AS BIGINT) AS total_lines, matched, (total_lines < 50 OR (node_count > 0 AND matched * 2 >= node_count)) AS "full", md5(array_to_string(string_split(content, chr(10))[2:4], chr(10))) AS lines_md5
 FROM l JOIN m USING (file_id) LEFT JOIN c USING (file_id)""",
     "budget_split": """WITH b AS (SELECT o_orderkey AS id, o_orderkey % 9000 AS budget FROM orders), c AS (SELECT *, budget * 10 // 100 AS memory FROM b), u AS (SELECT *, budget - memory AS code, (budget - memory) * 90 // 100 AS usable FROM c)
@@ -180,14 +180,14 @@ FROM t JOIN v_obs USING (id), (SELECT max(bm25) AS mx FROM t) ORDER BY (0.4 * bm
     "consolidate": f"""WITH n AS (SELECT * FROM v_obs WHERE id = 702), c AS ((SELECT v.* FROM v_obs v, n WHERE v.id <> 702 AND NOT v.is_stale AND v.session_id = n.session_id ORDER BY v.created_at DESC, v.id LIMIT 20) UNION ALL (SELECT v.* FROM v_obs v, n WHERE v.id <> 702 AND NOT v.is_stale AND v.session_id <> n.session_id ORDER BY v.created_at DESC, v.id LIMIT 10)),
 g AS (SELECT c.id, n.id AS new_id, {_TRI.format('c.content')} AS a, {_TRI.format('n.content')} AS b FROM c, n), s AS (SELECT id, new_id, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS similarity FROM g)
 SELECT *, similarity >= 0.7 AS consolidated FROM s""",
-    "trigram_similarity": f"""WITH p AS (SELECT a.id, substr(a.content, 1, 400) AS a, substr(b.content, 1, 400) AS b FROM v_obs a JOIN v_obs b ON b.id = a.id + 1), g AS (SELECT id, a AS t, {_TRI.format('a')} AS x, {_TRI.format('b')} AS y, string_split(a, chr(10))[1] AS l FROM p)
+    "trigram_similarity": f"""WITH p AS (SELECT a.id, a.content AS a, b.content AS b FROM v_obs a JOIN v_obs b ON b.id = a.id + 1), g AS (SELECT id, a AS t, {_TRI.format('a')} AS x, {_TRI.format('b')} AS y, string_split(a, chr(10))[1] AS l FROM p)
 SELECT id, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS similarity, CASE WHEN len(l) <= 80 THEN l ELSE substr(l, 1, 77) || '...' END AS headline FROM g""",
     "anti_patterns": """WITH o AS (SELECT observation_id AS id, session_id, CAST(floor(epoch(created_at)) AS BIGINT) AS sec, file_id FROM v_activity),
-f AS (SELECT id, count(*) OVER (PARTITION BY session_id, file_id) AS n FROM o), s AS (SELECT id, count(*) OVER (PARTITION BY session_id, file_id % 40) AS n FROM o WHERE id % 3 = 0),
+f AS (SELECT id, count(*) OVER (PARTITION BY session_id, file_id) AS n FROM o), s AS (SELECT id, count(*) OVER (PARTITION BY session_id, file_id % 40) AS n FROM o),
 r AS (SELECT id, count(*) OVER (PARTITION BY session_id ORDER BY sec RANGE BETWEEN 599 PRECEDING AND 599 FOLLOWING) AS n FROM o),
 t AS (SELECT id, 1 AS k FROM f WHERE n > 3 UNION ALL SELECT id, 2 FROM s WHERE n > 3 UNION ALL SELECT id, 3 FROM r WHERE n > 5)
 SELECT o.id, o.session_id, CASE min(k) WHEN 1 THEN 'file_thrashing' WHEN 2 THEN 'circular_investigation' ELSE 'rapid_churn' END AS anti_pattern FROM t JOIN o USING (id) GROUP BY o.id, o.session_id""",
-    "session_summary": f"""WITH RECURSIVE h AS (SELECT session_id, substr(content, 1, 200) AS h, min(created_at) AS first_at, arg_min(id, created_at) AS first_id FROM v_obs WHERE session_id IN (SELECT id FROM v_sessions WHERE epoch_us(updated_at) < epoch_us(TIMESTAMP '{NOW}') - 7200000000) GROUP BY 1, 2),
+    "session_summary": f"""WITH RECURSIVE h AS (SELECT session_id, content AS h, min(created_at) AS first_at, arg_min(id, created_at) AS first_id FROM v_obs WHERE session_id IN (SELECT id FROM v_sessions WHERE epoch_us(updated_at) < epoch_us(TIMESTAMP '{NOW}') - 7200000000) GROUP BY 1, 2),
 q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first_at, first_id) AS i FROM h),
 f AS (SELECT session_id, 0 AS i, CAST([] AS VARCHAR[]) AS parts, CAST(0 AS BIGINT) AS size FROM (SELECT DISTINCT session_id FROM q) UNION ALL
   SELECT q.session_id, CAST(q.i AS INT), CASE WHEN size + strlen(h) + 2 <= 500 THEN list_append(parts, h) ELSE parts END, CASE WHEN size + strlen(h) + 2 <= 500 THEN size + strlen(h) + 2 ELSE size END FROM f JOIN q ON q.session_id = f.session_id AND q.i = f.i + 1)

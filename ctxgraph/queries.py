@@ -219,7 +219,7 @@ def simple_paths(v: Views) -> DataFrame:
 @query
 def bridges(v: Views) -> DataFrame:
     """J13, R13."""
-    return graph.bridges(v.v_edges, v.v_nodes.where("kind = 'struct' AND file_id < 10").select("id"))
+    return graph.bridges(v.v_edges, v.v_nodes.where("kind = 'struct'").select("id"))
 
 
 # Resolution
@@ -281,7 +281,7 @@ def range_merge(v: Views) -> DataFrame:
 @query
 def excerpt_choice(v: Views) -> DataFrame:
     """And the first lines of each file."""
-    out = context.excerpt_choice(v.v_files, v.v_nodes.where("kind = 'function' AND id % 5 = 0"), lookup.node_counts(v.v_nodes))
+    out = context.excerpt_choice(v.v_files, v.v_nodes.where("kind = 'function'"), lookup.node_counts(v.v_nodes))
     head = v.v_files.select(F.col("id").alias("file_id"), F.md5(X.lines(F.col("content"), F.lit(2), F.lit(4))).alias("lines_md5"))
     return out.join(head, "file_id").select("file_id", F.col("total_lines").cast("long").alias("total_lines"), "matched", "full", "lines_md5")
 
@@ -320,8 +320,8 @@ def consolidate(v: Views) -> DataFrame:
 @query
 def trigram_similarity(v: Views) -> DataFrame:
     """Each turn with the next of its session."""
-    a = v.v_obs.select("id", F.substring("content", 1, 400).alias("a"))
-    b = v.v_obs.select((F.col("id") - 1).alias("id"), F.substring("content", 1, 400).alias("b"))
+    a = v.v_obs.select("id", F.col("content").alias("a"))
+    b = v.v_obs.select((F.col("id") - 1).alias("id"), F.col("content").alias("b"))
     out = a.join(b, "id").select("id", X.jaccard(X.trigrams(F.col("a")), X.trigrams(F.col("b"))).alias("similarity"), X.headline(F.col("a")).alias("headline"))
     return _r(out, "similarity")
 
@@ -330,14 +330,14 @@ def trigram_similarity(v: Views) -> DataFrame:
 def anti_patterns(v: Views) -> DataFrame:
     """A11, J11, J15 over all activity."""
     links = v.v_activity.select("observation_id", "file_id")
-    symbols = v.v_activity.select("observation_id", (F.col("file_id") % 40).alias("node_id")).where("observation_id % 3 = 0")
+    symbols = v.v_activity.select("observation_id", (F.col("file_id") % 40).alias("node_id"))
     return memory.anti_patterns(v.v_activity.withColumnRenamed("observation_id", "id"), links, symbols)
 
 
 @query
 def session_summary(v: Views) -> DataFrame:
     """A12 with headlines of many lengths."""
-    obs = v.v_obs.withColumn("headline", F.substring("content", 1, 200))
+    obs = v.v_obs.withColumn("headline", F.col("content"))
     return memory.session_summaries(v.v_sessions, obs, NOW)
 
 
