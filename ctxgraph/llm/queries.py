@@ -12,8 +12,7 @@ from .common import read_table
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no pictures: each vector of ``embeddings`` is drawn as one,
     so near copies among the vectors are edited copies among the pictures."""
-    drawn = media.pictures(read_table(spark, sf_dir, "embeddings"))
-    return media.copies(drawn, "vec_id")
+    return media.copies(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.drawn)
 
 
 def op2_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
