@@ -42,19 +42,29 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._paths = 0, {}
 
     def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         """Write ``df`` and return the table read back."""
         path = f"{self.root}/t{self._n}"
         self._n += 1
         df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(kept)] = kept, path
+        return kept
+
+    def release(self, *tables: DataFrame | None) -> None:
+        """Delete kept tables that nothing lazy reads any more."""
+        for table in tables:
+            if table is not None:
+                self._delete(self._paths.pop(id(table))[1])
 
     def drop(self) -> None:
         """Delete the folder: only when nothing lazy still reads it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
 
@@ -117,7 +127,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low.withColumnRenamed("a", "u"), big.a == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        pairs = scratch.keep(small.where("a <> b").distinct())
+        before, pairs = pairs, scratch.keep(small.where("a <> b").distinct())
+        scratch.release(before)
         mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

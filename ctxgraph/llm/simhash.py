@@ -278,7 +278,7 @@ def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS) -> DataFrame:
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """key, raw (digest of the text) and root of every row: rows share a root if
     links of ``similarity`` or more between their sets of shingles join them.
 
@@ -293,12 +293,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     that a crowd was copied from shares more than the copies do), in rounds until no
     round finds a link.  Bands of at most ``CROWD`` texts are then compared in full; of
     a larger band, only links of which neither end leads in any band can be missed."""
-    scratch = Scratch(docs.sparkSession, "similar")
-    marked = scratch.keep(_marked(docs, key, text, words).withColumn("uid", F.monotonically_increasing_id()))
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    marked = scratch.keep(_marked(docs, key, text, words).withColumn("uid", F.monotonically_increasing_id()), "zstd")
     # Rows of equal words are one node from here on, named by one of its rows.
     names = scratch.keep(marked.groupBy("same").agg(F.min("uid").alias("node")))
+    rows = scratch.keep(marked.select(key, "raw", "same"))
     nodes = marked.join(names.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "fp", "bands", "shingles")
     nodes = scratch.keep(nodes, "zstd")
+    scratch.release(marked)
     entries = nodes.select("node", "fp", F.explode("bands").alias("band"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
     every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
@@ -308,13 +310,24 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", every)
     shared = scratch.keep(entries.withColumn("salt", salt).join(sizes, ["band", "salt"]).drop("salt"))
     meetings = shared.groupBy("node").agg(F.sum("n").alias("pop"))
-    shared = scratch.keep(shared.join(meetings, "node"))
+    met_once, shared = shared, scratch.keep(shared.join(meetings, "node").drop("n"))
+    scratch.release(met_once)
     shingles = scratch.keep(nodes.select("node", "shingles").join(scratch.keep(shared.select("node").distinct()), "node", "left_semi"), "zstd")
+    scratch.release(nodes)
 
-    roots = links = tested = None
+    def components(edges: DataFrame) -> DataFrame:
+        own = Scratch(docs.sparkSession, "similar-roots")
+        out = scratch.keep(connected_components(edges, own))
+        own.drop()
+        return out
+
+    # Tables are deleted as soon as those made of them are written.
+    roots = links = tested = rooted = None
     while True:
+        last = rooted
         rooted = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = scratch.keep(rooted)
+        scratch.release(last)
         per = scratch.keep(rooted.groupBy("band", "root").agg(F.max(F.struct("pop", "node", "fp")).alias("h")))
         one = per.groupBy("band").agg(F.max(F.struct("h", "root")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", F.col("x.h").alias("h1"), F.col("x.root").alias("r1"))
         two = per.join(one.select("band", "r1"), "band").where("root <> r1").groupBy("band").agg(F.max("h").alias("h2"))
@@ -326,23 +339,26 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         else:
             met = met.select("b", "a").distinct().join(tested, ["b", "a"], "left_anti")
         met = scratch.keep(met.select("a", "b"))
+        scratch.release(per)
         found = scratch.keep(_similar(met, shingles, similarity))
         tested = met if tested is None else tested.unionByName(met)
         first = links is None
         links = found if first else links.unionByName(found)
         if found.isEmpty() and not first:
             break
-        roots = scratch.keep(connected_components(links, scratch))
+        before, roots = roots, components(links)
+        scratch.release(before)
 
+    scratch.release(shared)
     small = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"lo < hi AND n <= {CROWD}").select("band")
     left = scratch.keep(rooted.join(small, "band", "left_semi").select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root")))
     right = left.select("band", F.col("b").alias("a"), F.col("b_fp").alias("a_fp"), F.col("b_root").alias("a_root"))
     more = left.join(right, "band").where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b").distinct()
     found = scratch.keep(_similar(scratch.keep(more.join(tested, ["a", "b"], "left_anti")), shingles, similarity))
     if not found.isEmpty():
-        roots = scratch.keep(connected_components(links.unionByName(found), scratch))
+        roots = components(links.unionByName(found))
     name = names.join(roots, "node", "left").select(F.col("same").alias("__same"), F.coalesce("root", "node").alias("root"))
-    return marked.join(name, marked["same"] == name["__same"]).select(key, "raw", "root")
+    return rows.join(name, rows["same"] == name["__same"]).select(key, "raw", "root")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -350,7 +366,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     null key last; of rows that repeat it, that of the smallest digest.  Texts
     without words are one group.  Columns pass through, whatever their names."""
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = scratch.keep(similar_groups(docs, key, text, words, similarity))
+    tables = Scratch(docs.sparkSession, "similar")
+    found = scratch.keep(similar_groups(docs, key, text, words, similarity, scratch=tables))
+    tables.drop()
     best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "raw")).alias("x"), F.count(F.lit(1)).alias("n"))
     best = scratch.keep(best.select(F.col("x.key").alias("__key"), F.col("x.raw").alias("__raw")))  # its size decides between broadcast and shuffle
     out = docs.join(best, docs[key].eqNullSafe(best["__key"]) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == best["__raw"]), "left_semi")
