@@ -57,13 +57,17 @@ class Engine:
             self._ranks = (version, graph.pagerank(self.table("nodes"), self.table("edges")))
         return self._ranks[1]
 
+    def text_index(self) -> search.Index | None:
+        """The snapshot's postings; None for a snapshot without."""
+        return search.Index(self.table("postings"), self.table("corpus"), search.FIELDS) if self.store.has("postings") else None
+
     # Search and context
 
     def search(self, query: str, limit: int = 20, intent: str | None = None, cross_workspace: bool = True) -> DataFrame:
         check("query", query, 1, 10_000)
         check("limit", limit, 1, 1000)
         external = {n: (s.read("nodes"), s.read("files")) for n, s in self.external.items()} if cross_workspace else None
-        return search.hybrid(self.table("nodes"), self.table("files"), self.table("edges"), self.pagerank(), query, intent, limit, external)
+        return search.hybrid(self.table("nodes"), self.table("files"), self.table("edges"), self.pagerank(), query, intent, limit, external, self.text_index())
 
     def get_context_capsule(self, query: str, token_budget: int | None = None, session_id: str | None = None, intent: str | None = None, cross_workspace: bool = True) -> DataFrame:
         """R17, R18.  A cached answer serves calls without a session."""
@@ -113,10 +117,14 @@ class Engine:
         if not query:
             return lookup.query_nodes(nodes, files, **filters, limit=limit, pagerank=ranks)
         own = nodes if kind else nodes.where("kind <> 'import'")
-        wide = lookup.query_nodes(own, files, **filters, limit=1 << 30).select("id")
-        documents = search.node_documents(own, files).join(wide, "id", "left_semi")
+        wide = lookup.filter_nodes(own, files, **filters)
         names = ["name", "qualified_name", "tokenized_name", "tokenized_qualified_name", "path"]
-        hits = keep(search.top(search.bm25(documents, X.parse_or(query), names), limit), "hits")
+        found, some = self.text_index(), X.parse_or(query)
+        if found is None:
+            scored = search.bm25(search.node_documents(nodes, files), some, names).select(F.col("id").alias("doc"), "bm25")
+        else:
+            scored = found.bm25(some, names)  # statistics of the whole index, filters after
+        hits = keep(search.top(wide.join(scored.withColumnRenamed("doc", "id"), "id"), limit), "hits")
         if hits.isEmpty():
             return lookup.query_nodes(nodes, files, **filters, text=query, limit=limit, pagerank=ranks)
         out = hits.select("id", "kind", "name", "qualified_name", "signature", "visibility", "is_export", "path", "line_start", "line_end", "bm25")
@@ -164,8 +172,11 @@ class Engine:
         new = keep(resolve.submit_edges(self.table("nodes"), given), "submitted")
         added = new.count()
         if added:
-            tables = {t: self.table(t) for t in ("files", "nodes", "local_edges", "refs")}
-            tables["edges"] = self.table("edges").unionByName(new.withColumn("context", F.lit(None).cast("string")))
+            carried = ("files", "nodes", "local_edges", "refs", "edges", "postings", "corpus", "cross_workspace_edges", "submitted_edges")
+            tables = {t: self.table(t) for t in carried if self.store.has(t)}
+            new = new.withColumn("context", F.lit(None).cast("string"))
+            tables["edges"] = tables["edges"].unionByName(new)
+            tables["submitted_edges"] = tables["submitted_edges"].unionByName(new) if "submitted_edges" in tables else new
             self.store.commit(tables)
         return {"added": added, "skipped": len(edges) - added}
 

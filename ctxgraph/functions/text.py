@@ -147,9 +147,17 @@ def token_count(c: Column) -> Column:
 
 def import_matches(import_path: Column, file_path: Column) -> Column:
     """The file's path without its extension ends in the import path."""
-    bare = F.regexp_replace(F.coalesce(import_path, F.lit("")), r"^(\./)+", "")
-    stem = F.regexp_replace(file_path, r"\.[^./]*$", "")
-    return (bare != "") & F.coalesce(F.endswith(stem, bare), F.lit(False))
+    bare = import_bare(import_path)
+    return (bare != "") & F.coalesce(F.endswith(path_stem(file_path), bare), F.lit(False))
+
+
+def import_bare(import_path: Column) -> Column:
+    """The import path without "./" in front; empty for null."""
+    return F.regexp_replace(F.coalesce(import_path, F.lit("")), r"^(\./)+", "")
+
+
+def path_stem(file_path: Column) -> Column:
+    return F.regexp_replace(file_path, r"\.[^./]*$", "")
 
 
 def recency(age_days: Column) -> Column:

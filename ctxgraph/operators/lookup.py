@@ -37,6 +37,17 @@ def like_any(text: str, name: Column, qualified: Column, signature: Column, path
 
 def query_nodes(nodes: DataFrame, files: DataFrame, kind: str | None = None, file_path: str | None = None, visibility: str | None = None, exported_only: bool = False, text: str | None = None, limit: int = 50, pagerank: DataFrame | None = None) -> DataFrame:
     """Nodes by filters, in order of path, line and id."""
+    out = filter_nodes(nodes, files, kind, file_path, visibility, exported_only)
+    if text is not None:
+        out = out.where(like_any(text, F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("path")))
+    if pagerank is not None:
+        out = out.join(pagerank.select(F.col("id"), F.col("rank").alias("pagerank")), "id", "left")
+    names = ["id", "kind", "name", "qualified_name", "signature", "visibility", "is_export", "path", "line_start", "line_end", *(["pagerank"] if pagerank is not None else [])]
+    return out.orderBy("path", "line_start", "id").limit(limit).select(*names)
+
+
+def filter_nodes(nodes: DataFrame, files: DataFrame, kind: str | None = None, file_path: str | None = None, visibility: str | None = None, exported_only: bool = False) -> DataFrame:
+    """nodes by filters with path and language of their files, in no order."""
     if kind is not None:
         nodes = nodes.where(F.col("kind") == kind)
     if visibility is not None:
@@ -46,13 +57,7 @@ def query_nodes(nodes: DataFrame, files: DataFrame, kind: str | None = None, fil
     files = files.select(F.col("id").alias("file_id"), "path", "language")
     if file_path is not None:
         files = files.where(F.col("path").ilike(f"%{file_path}%"))
-    out = nodes.join(files, "file_id")
-    if text is not None:
-        out = out.where(like_any(text, F.col("name"), F.col("qualified_name"), F.col("signature"), F.col("path")))
-    if pagerank is not None:
-        out = out.join(pagerank.select(F.col("id"), F.col("rank").alias("pagerank")), "id", "left")
-    names = ["id", "kind", "name", "qualified_name", "signature", "visibility", "is_export", "path", "line_start", "line_end", *(["pagerank"] if pagerank is not None else [])]
-    return out.orderBy("path", "line_start", "id").limit(limit).select(*names)
+    return nodes.join(files, "file_id")
 
 
 def query_edges(edges: DataFrame, nodes: DataFrame, files: DataFrame, symbol: str | None = None, kind: str | None = None, min_confidence: float | None = None, direction: str = "both", limit: int = 50) -> DataFrame:

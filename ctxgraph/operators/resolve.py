@@ -32,35 +32,73 @@ def preferred(edge_kind: Column, node_kind: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _nearest(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per key a list of (kind, id, file): for each kind of node the two
+    smallest ids, which are of two files, so one is left whatever file asks.
+
+    The rank limit cuts each part before the shuffle: a name that a million
+    files export sends two rows a part and kind."""
+    order = Window.partitionBy(*keys, "node_kind").orderBy("id")
+    two = rows.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    return two.groupBy(*keys).agg(F.collect_list(F.struct(F.col("node_kind").alias("kind"), "id", F.col("target_file_id").alias("file"))).alias("found"))
+
+
+def _scored(found: Column, base: Column) -> Column:
+    """(confidence, ~id) of each candidate of another file: the greatest of them
+    has the best confidence and then the smallest id."""
+    others = F.filter(F.coalesce(found, F.array()), lambda x: x["file"] != F.col("source_file_id"))
+    value = lambda x: F.when(preferred(F.col("edge_kind"), x["kind"]), F.least(base + BONUS, F.lit(MOST))).otherwise(base)
+    return F.transform(others, lambda x: F.struct(F.round(value(x), 6).alias("confidence"), F.bitwise_not(x["id"]).alias("order")))
+
+
 def resolve_refs(refs: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """(ref_id, source_node_id, target_node_id, kind, confidence, context).
 
-    Refs meet the exported nodes of their name in other files.  Refs and nodes
-    are first reduced to the names both have, so a name met nowhere costs no
-    join row; the evidence is one left join and one expression; a window over a
-    ref's candidates tells one from several and picks the best (ties: smallest
+    Refs meet the exported nodes of their name in other files, but never as
+    pairs: nodes are first reduced to one row per (name, file, kind), and each
+    sort of evidence to one row per its key with the best node per kind.
+
+    * none: per name, with the count that tells one candidate from several;
+    * import: per (asking file, name), over the files that it imports;
+    * path: per (name, end of a path), for ends as long as some import path.
+
+    A ref then picks among a few candidates within its own row (ties: smallest
     node id)."""
     has = set(refs.columns)
     context = F.col("context") if "context" in has else F.lit(None).cast("string")
     qualified = F.col("target_qualified_name") if "target_qualified_name" in has else F.lit(None).cast("string")
     source = nodes.select(F.col("id").alias("source_node_id"), F.col("file_id").alias("source_file_id"))
-    r = refs.select(F.col("id").alias("ref_id"), "source_node_id", "target_name", qualified.alias("target_qualified_name"), "edge_kind", "import_path", context.alias("context")).join(source, "source_node_id")
-    path = files.select(F.col("id").alias("target_file_id"), F.col("path").alias("target_path"))
-    public = nodes.where(exported(F.col("is_export"), F.col("visibility"))).select(F.col("id").alias("target_node_id"), F.col("name").alias("target_name"), F.col("file_id").alias("target_file_id"), F.col("kind").alias("node_kind"), "qualified_name").join(path, "target_file_id", "left")
-    named = public.groupBy(F.col("qualified_name").alias("target_qualified_name")).agg(F.max("target_node_id").alias("exact_id"))
+    r = refs.select(F.col("id").alias("ref_id"), "source_node_id", "target_name", qualified.alias("target_qualified_name"), "edge_kind", X.import_bare(F.col("import_path")).alias("bare"), context.alias("context")).join(source, "source_node_id")
+    public = nodes.where(exported(F.col("is_export"), F.col("visibility")))
+    named = public.groupBy(F.col("qualified_name").alias("target_qualified_name")).agg(F.max("id").alias("exact_id"))
     r = r.join(named, "target_qualified_name", "left")
     exact = r.where("exact_id is not null").select("ref_id", "source_node_id", F.col("exact_id").alias("target_node_id"), F.col("edge_kind").alias("kind"), F.lit(EXACT).alias("confidence"), "context")
     open_ = r.where("exact_id is null").drop("exact_id", "target_qualified_name")
-    pairs = import_pairs(edges, nodes).withColumn("imports", F.lit(True))
-    met = open_.join(public, "target_name").where("source_file_id <> target_file_id").join(pairs, ["source_file_id", "target_file_id"], "left")
-    several = F.count(F.lit(1)).over(Window.partitionBy("ref_id")) > 1
-    base = F.when(several, AMBIGUOUS).otherwise(SINGLE)
-    score = F.when(F.coalesce("imports", F.lit(False)), F.greatest(base, F.lit(IMPORTED))).when(F.coalesce(X.import_matches(F.col("import_path"), F.col("target_path")), F.lit(False)), F.greatest(base, F.lit(PATH))).otherwise(base)
-    met = met.withColumn("base", score)
-    bonus = F.when(preferred(F.col("edge_kind"), F.col("node_kind")), F.least(F.col("base") + BONUS, F.lit(MOST))).otherwise(F.col("base"))
-    best = Window.partitionBy("ref_id").orderBy(F.col("confidence").desc(), "target_node_id")
-    met = met.withColumn("confidence", F.round(bonus, 6)).withColumn("nth", F.row_number().over(best)).where((F.col("nth") == 1) & (F.col("confidence") > LEAST))
-    return exact.unionByName(met.select("ref_id", "source_node_id", "target_node_id", F.col("edge_kind").alias("kind"), "confidence", "context"))
+    held = public.groupBy(F.col("name").alias("target_name"), F.col("file_id").alias("target_file_id"), F.col("kind").alias("node_kind")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+    total = held.where("target_file_id is not null").groupBy("target_name").agg(F.sum("n").alias("total"))
+    own = held.groupBy("target_name", F.col("target_file_id").alias("source_file_id")).agg(F.sum("n").alias("own"))
+    plain = total.join(_nearest(held, "target_name").withColumnRenamed("found", "plain"), "target_name")
+
+    pairs = import_pairs(edges, nodes).where("source_file_id <> target_file_id")
+    asked = open_.select("source_file_id", "target_name").distinct().join(pairs, "source_file_id")
+    imported = asked.join(held, ["target_name", "target_file_id"]).groupBy("source_file_id", "target_name", "node_kind").agg(F.min(F.struct("id", "target_file_id")).alias("m"))
+    imported = imported.groupBy("source_file_id", "target_name").agg(F.collect_list(F.struct(F.col("node_kind").alias("kind"), F.col("m.id").alias("id"), F.col("m.target_file_id").alias("file"))).alias("imported"))
+
+    wanted = open_.where("bare <> ''").select("target_name", "bare").distinct()
+    sizes = wanted.agg(F.collect_set(F.length("bare")).alias("sizes"))  # one row, of as many lengths as import paths have
+    stems = files.select(F.col("id").alias("target_file_id"), X.path_stem(F.col("path")).alias("stem"))
+    ends = held.join(stems, "target_file_id").crossJoin(F.broadcast(sizes))
+    ends = ends.withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("stem"))))
+    ends = ends.withColumn("bare", F.substring(F.col("stem"), F.length("stem") - F.col("size") + 1, F.col("size")))
+    ends = ends.join(wanted, ["target_name", "bare"], "left_semi")
+    placed = _nearest(ends, "target_name", "bare").withColumnRenamed("found", "placed")
+
+    met = open_.join(plain, "target_name").join(own, ["target_name", "source_file_id"], "left").join(imported, ["source_file_id", "target_name"], "left").join(placed, ["target_name", "bare"], "left")
+    base = F.when(F.col("total") - F.coalesce("own", F.lit(0)) > 1, AMBIGUOUS).otherwise(SINGLE)
+    all_ = F.concat(_scored(F.col("plain"), base), _scored(F.col("imported"), F.lit(IMPORTED)), _scored(F.col("placed"), F.lit(PATH)))
+    met = met.withColumn("best", F.array_max(all_)).where(F.col("best.confidence") > LEAST)
+    return exact.unionByName(met.select("ref_id", "source_node_id", F.bitwise_not("best.order").alias("target_node_id"), F.col("edge_kind").alias("kind"), "best.confidence", "context"))
 
 
 def resolve_cross_workspace(refs: DataFrame, workspaces: dict[str, DataFrame]) -> DataFrame:

@@ -17,16 +17,16 @@ def words(*columns: str) -> str:
     return " || ".join(WORDS.format(c) for c in columns)
 
 
-def _bm25(docs: str, fields: tuple[str, ...], groups: tuple[tuple[str, ...], ...], key: str = "id") -> str:
-    """CTEs that end in hits(key, bm25)."""
+def _bm25(docs: str, fields: tuple[str, ...], groups: tuple[tuple[str, ...], ...], key: str = "id", sized: tuple[str, ...] | None = None) -> str:
+    """CTEs that end in hits(key, bm25); lengths are those of the fields ``sized``."""
     terms = list(dict.fromkeys(t for g in groups for t in g))
     listed = ", ".join(f"('{t}')" for t in terms)
     members = ", ".join(f"({i}, '{t}', {len(g)})" for i, g in enumerate(groups) for t in g)
     return f"""
-doc_words AS (SELECT {key} AS id, {words(*fields)} AS ws FROM {docs}),
-corpus AS (SELECT count(*) AS big_n, avg(len(ws)) AS avg_len FROM doc_words),
+doc_words AS (SELECT {key} AS id, {words(*fields)} AS ws, len({words(*(sized or fields))}) AS dl FROM {docs}),
+corpus AS (SELECT count(*) AS big_n, avg(dl) AS avg_len FROM doc_words),
 terms(w) AS (VALUES {listed}), grp(g, w, size) AS (VALUES {members}),
-tf AS (SELECT id, len(ws) AS dl, w, len(list_filter(ws, lambda x: x = w)) AS tf FROM doc_words, terms WHERE list_contains(ws, w)),
+tf AS (SELECT id, dl, w, len(list_filter(ws, lambda x: x = w)) AS tf FROM doc_words, terms WHERE list_contains(ws, w)),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 gs AS (SELECT tf.id, g, size, count(*) AS n, sum(greatest(CASE WHEN ln((big_n - df + 0.5) / (df + 0.5)) > 0 THEN ln((big_n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS s
   FROM tf JOIN df USING (w) JOIN grp USING (w), corpus GROUP BY tf.id, g, size),
@@ -52,6 +52,14 @@ r{i + 1} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (coalesce(g.got, 0) + l
     return out
 
 
+def _pagerank_converged(most: int = 100) -> str:
+    """CTEs that end in ranks(id, rank): the first step that moves no rank by 1e-6."""
+    every = " UNION ALL ".join(f"SELECT {i} AS i, id, rank FROM r{i}" for i in range(1, most + 1))
+    return _pagerank(most) + f""",
+every AS MATERIALIZED ({every}), still AS (SELECT i FROM (SELECT i, max(moved) AS moved FROM (SELECT i, abs(rank - lag(rank, 1, 1.0 / n) OVER (PARTITION BY id ORDER BY i)) AS moved FROM every, n) GROUP BY i) WHERE moved < 1e-6),
+ranks AS (SELECT id, rank FROM every WHERE i = coalesce((SELECT min(i) FROM still), {most}))"""
+
+
 def _joined(c: str) -> str:
     """The parts of an identifier joined by spaces, in lower case."""
     cut = f"regexp_replace({c}, '[:.\\-/_]+', chr(1), 'g')"
@@ -85,11 +93,13 @@ _TRI = "CASE WHEN len({0}) < 3 THEN [lower({0})] ELSE list_distinct([substr(lowe
 
 RAW: dict[str, str] = {
     "bm25_topk": f"WITH {_bm25('v_files', ('content',), (('anshe',), ('theaea',), ('re', 'eroundth')))} SELECT h.id, f.path, round(bm25, 6) AS bm25 FROM hits h JOIN v_files f ON f.id = h.id ORDER BY h.bm25 DESC, h.id LIMIT 20",
+    "bm25_filtered": f"""WITH {NODE_DOCS}, {_bm25('nd', NODE_FIELDS[:4] + ('path',), (('steel',), ('supplier',), ('widget',), ('src1',)), sized=NODE_FIELDS)}
+SELECT h.id, nd.name, nd.path, round(h.bm25, 6) AS bm25 FROM hits h JOIN nd USING (id) WHERE nd.kind = 'function' AND nd.path ILIKE '%src1%' ORDER BY h.bm25 DESC, h.id LIMIT 50""",
     "bm25_cascade": f"WITH {_bm25('v_files', ('content',), (('theaea', 're', 'anshe'),)).replace('hits AS', 'hits_and AS')}, {_bm25('v_files', ('content',), (('theaea', 're'), ('anshe',))).replace('doc_words', 'doc_words2').replace('corpus', 'corpus2').replace('terms', 'terms2').replace('grp', 'grp2').replace('gs', 'gs2').replace('tf AS (', 'tf2 AS (').replace('FROM tf ', 'FROM tf2 ').replace('df AS (', 'df2 AS (').replace('FROM tf2 JOIN df ', 'FROM tf2 JOIN df2 ').replace('tf.id', 'tf2.id')}, "
     "a AS (SELECT * FROM hits_and ORDER BY bm25 DESC, id LIMIT 40), o AS (SELECT * FROM hits ORDER BY bm25 DESC, id LIMIT 40), "
     "c AS (SELECT count(*) AS n FROM a) SELECT id, round(bm25, 6) AS bm25 FROM a, c WHERE n >= 5 UNION ALL SELECT id, round(bm25, 6) FROM o, c WHERE n < 5",
     "like_fallback": f"WITH {NODE_DOCS} SELECT id, name, path, CAST(1.0 AS DOUBLE) AS bm25 FROM nd WHERE " + " OR ".join(f"{c} ILIKE '%{w}%'" for w in ("arge-x", "upplie", "0001") for c in ("name", "qualified_name", "signature", "path")) + " ORDER BY id LIMIT 40",
-    "hybrid_score": f"""WITH {NODE_DOCS}, {_pagerank(10)}, {_bm25('nd', NODE_FIELDS, (('supplier',), ('europe',))).replace('hits AS', 'hits_or AS').replace('gs AS', 'gs0 AS').replace('FROM gs ', 'FROM gs0 ')},
+    "hybrid_score": f"""WITH {NODE_DOCS}, {_pagerank_converged()}, {_bm25('nd', NODE_FIELDS, (('supplier',), ('europe',))).replace('hits AS', 'hits_or AS').replace('gs AS', 'gs0 AS').replace('FROM gs ', 'FROM gs0 ')},
 allhit AS (SELECT id, sum(s) AS bm25 FROM gs0 GROUP BY id HAVING count(*) = 2),
 na AS (SELECT count(*) AS n FROM (SELECT * FROM allhit LIMIT 30)),
 c AS (SELECT id, bm25 FROM hits_or ORDER BY bm25 DESC, id LIMIT 30),
@@ -97,7 +107,7 @@ a AS (SELECT id, bm25 FROM allhit ORDER BY bm25 DESC, id LIMIT 30),
 pick AS (SELECT * FROM a WHERE (SELECT n FROM na) >= 5 UNION ALL SELECT * FROM c WHERE (SELECT n FROM na) < 5),
 conf AS (SELECT node_id, avg(confidence) AS ac FROM (SELECT source_node_id AS node_id, confidence FROM v_edges UNION ALL SELECT target_node_id, confidence FROM v_edges) GROUP BY 1),
 s AS (SELECT nd.id, nd.name, nd.path, 0.30 * bm25 / max(bm25) OVER () + 0.30 * {_overlap(['supplier', 'europe', 'module'], 'nd.name', 'nd.signature')} + 0.25 * least(rank * 1000, 1.0) + 0.15 * coalesce(ac, 0.5)
-  + 0.15 * {_bonus(['supplier', 'europe'], 'nd.path')} AS score FROM pick JOIN nd USING (id) JOIN r10 USING (id) LEFT JOIN conf ON conf.node_id = nd.id),
+  + 0.15 * {_bonus(['supplier', 'europe'], 'nd.path')} AS score FROM pick JOIN nd USING (id) JOIN ranks USING (id) LEFT JOIN conf ON conf.node_id = nd.id),
 t AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM s ORDER BY score DESC, id LIMIT 15)
 SELECT id, name, path, round(score, 6) AS score, CASE WHEN count(*) OVER (PARTITION BY dir) > 2 THEN dir END AS cluster_id FROM t""",
     "external_merge": f"""WITH nd AS (SELECT item_id AS id, substr(text, 1, 20) AS name, text AS qualified_name, CAST(NULL AS VARCHAR) AS signature, 'bench/items.txt' AS path FROM benchmark),
@@ -129,15 +139,16 @@ WHERE e.confidence >= 0.87 AND (s.name = 'Supplier#000000007' OR t.name = 'Suppl
     "edge_kind_counts": "SELECT kind, count(*) AS n FROM v_edges GROUP BY kind",
     "degrees": "SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT source_node_id AS id, 1 AS o, 0 AS i FROM v_edges UNION ALL SELECT target_node_id, 0, 1 FROM v_edges) GROUP BY id",
     "pagerank_k": f"WITH {_pagerank(10)} SELECT id, round(rank, 10) AS rank FROM r10",
-    "top_pagerank": f"WITH {_pagerank(10)} SELECT v.id, v.kind, v.name, round(r.rank, 10) AS rank FROM r10 r JOIN v_nodes v USING (id) WHERE v.kind = 'class' ORDER BY r.rank DESC, v.id LIMIT 20",
+    "top_pagerank": f"WITH {_pagerank_converged()} SELECT v.id, v.kind, v.name, round(r.rank, 10) AS rank FROM ranks r JOIN v_nodes v USING (id) WHERE v.kind = 'class' ORDER BY r.rank DESC, v.id LIMIT 20",
     "impact_bfs": """WITH RECURSIVE st AS (SELECT id FROM v_nodes WHERE name = 'ASIA' OR qualified_name = 'ASIA' ORDER BY id LIMIT 1),
 up AS (SELECT id, -1 AS d FROM st UNION SELECT e.source_node_id, d + 1 FROM up JOIN v_edges e ON e.target_node_id = up.id WHERE d < 2),
 down AS (SELECT id, -1 AS d FROM st UNION SELECT e.target_node_id, d + 1 FROM down JOIN v_edges e ON e.source_node_id = down.id WHERE d < 2)
 SELECT 'callers' AS direction, min(d) AS depth, id FROM up GROUP BY id HAVING min(d) >= 0 UNION ALL SELECT 'callees', min(d), id FROM down GROUP BY id HAVING min(d) >= 0""",
-    "simple_paths": """WITH RECURSIVE s AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM v_edges),
+    "simple_paths": """WITH RECURSIVE s AS MATERIALIZED (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM v_edges), goal AS (SELECT id FROM v_nodes WHERE name = 'ASIA'),
+far AS (SELECT id, 0 AS d FROM goal UNION SELECT s.a, d + 1 FROM far JOIN s ON s.b = far.id WHERE d < 6), near AS MATERIALIZED (SELECT id, min(d) AS d FROM far GROUP BY id),
 p AS (SELECT [id] AS path, id AS here, 0 AS hops FROM v_nodes WHERE name = 'Supplier#000000007' UNION ALL
-  SELECT list_append(path, b), b, hops + 1 FROM p JOIN s ON s.a = p.here WHERE hops < 6 AND NOT list_contains(path, b) AND here <> (SELECT id FROM v_nodes WHERE name = 'ASIA'))
-SELECT hops, array_to_string(path, '>') AS path FROM p WHERE here = (SELECT id FROM v_nodes WHERE name = 'ASIA') ORDER BY hops, p.path LIMIT 10""",
+  SELECT list_append(path, b), b, hops + 1 FROM p JOIN s ON s.a = p.here JOIN near ON near.id = s.b WHERE hops + 1 + near.d <= 6 AND NOT list_contains(path, b) AND here NOT IN (SELECT id FROM goal))
+SELECT hops, array_to_string(path, '>') AS path FROM p WHERE here IN (SELECT id FROM goal) ORDER BY hops, p.path LIMIT 10""",
     "bridges": "WITH piv AS (SELECT id FROM v_nodes WHERE kind = 'struct'), e AS (SELECT * FROM v_edges WHERE kind IN ('calls', 'imports', 'implements', 'extends')) SELECT DISTINCT id FROM (SELECT target_node_id AS id FROM e WHERE source_node_id IN (SELECT id FROM piv) UNION SELECT source_node_id FROM e WHERE target_node_id IN (SELECT id FROM piv)) WHERE id NOT IN (SELECT id FROM piv)",
     "resolve_refs": rf"""WITH xn AS (SELECT id, file_id, kind, name, qualified_name, visibility, is_export OR id % 3 = 0 AS is_export FROM v_nodes), pub AS (SELECT n.*, f.path FROM xn n LEFT JOIN v_files f ON f.id = n.file_id WHERE {_ALLOWED}),
 imp AS (SELECT DISTINCT s.file_id AS a, t.file_id AS b FROM v_edges e JOIN v_nodes s ON s.id = e.source_node_id JOIN v_nodes t ON t.id = e.target_node_id WHERE e.kind = 'imports'),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, resolve
+from ..operators import extract, resolve, search
 from ..sources import workspace
 from ..sources.config import Config
 from ..sources.store import Store, delete_cascade
@@ -31,6 +31,15 @@ def compare(scan: DataFrame, files: DataFrame | None) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def _postings(nodes: DataFrame, files: DataFrame, new: dict, old: dict | None, gone: DataFrame | None, store: Store) -> DataFrame:
+    """The postings of nodes that stay, and those of the files just read."""
+    if not old or not store.has("postings"):
+        return search.postings(search.node_documents(new["nodes"], new["files"]), search.FIELDS)
+    left = old["nodes"].join(gone.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("id").alias("doc"))
+    fresh = search.postings(search.node_documents(nodes, files), search.FIELDS)
+    return store.read("postings").join(left, "doc", "left_anti").unionByName(fresh)
+
+
 def index(spark: SparkSession, root: str, store: Store, config: Config = Config(), now: str = "1970-01-01 00:00:00", extra: dict[str, str] | None = None, workspaces: dict[str, DataFrame] | None = None) -> dict:
     """Index ``root``, commit, and report counts per status."""
     scan = workspace.scan(spark, root, config, extra).withColumn("id", F.xxhash64("path"))
@@ -56,7 +65,16 @@ def index(spark: SparkSession, root: str, store: Store, config: Config = Config(
     else:
         new = {t: keep(df, t) for t, df in new.items()}
     found = resolve.resolve_refs(new["refs"], new["nodes"], new["local_edges"], new["files"])
-    new["edges"] = keep(new["local_edges"].unionByName(found.select("source_node_id", "target_node_id", "kind", "confidence", "context")), "edges")
+    every = new["local_edges"].unionByName(found.select("source_node_id", "target_node_id", "kind", "confidence", "context"))
+    if old and store.has("submitted_edges"):
+        given = store.read("submitted_edges")
+        for end in ("source_node_id", "target_node_id"):  # of nodes that are still there
+            given = given.join(new["nodes"].select(F.col("id").alias(end)), end, "left_semi")
+        new["submitted_edges"] = keep(given, "submitted")
+        every = every.unionByName(new["submitted_edges"])
+    new["edges"] = keep(every, "edges")
+    new["postings"] = keep(_postings(nodes, files, new, old, gone if old else None, store), "postings")
+    new["corpus"] = search.corpus(new["postings"])
     if workspaces:
         open_ = new["refs"].join(found.select(F.col("ref_id").alias("id")), "id", "left_anti")
         new["cross_workspace_edges"] = resolve.resolve_cross_workspace(open_, workspaces)

@@ -26,3 +26,13 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(kept: DataFrame) -> None:
+    """Delete the files of a kept table, which nothing may read any more."""
+    spark = kept.sparkSession
+    root = shared_folder(spark)
+    for name in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if root.split(":", 1)[-1].strip("/") in name:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import context, graph, lookup, memory, resolve, search
 from .oracles import ORACLE_SQL  # noqa: F401
+from .plans.scratch import keep, shared_folder
 from .sources.config import Config
 from .sources.views import Views
 
@@ -26,20 +29,57 @@ def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _once(v: Views, name: str, make):
+    """What an engine keeps beside its snapshot, made once per application and
+    folder: later queries read it."""
+    key = (v.spark.sparkContext.applicationId, shared_folder(v.spark), v.folder, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _ranks(v: Views) -> DataFrame:
+    return _once(v, "ranks", lambda: graph.pagerank(v.v_nodes, v.v_edges))
+
+
+def _index(v: Views, name: str, docs: DataFrame, fields: list[str]) -> search.Index:
+    return _once(v, name, lambda: search.build_index(docs, fields, f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"))
+
+
+def _content_index(v: Views) -> search.Index:
+    return _index(v, "content_index", v.v_files.select("id", "content"), ["content"])
+
+
+def _node_index(v: Views) -> search.Index:
+    return _index(v, "node_index", search.node_documents(v.v_nodes, v.v_files), search.FIELDS)
+
+
 # Retrieval
 
 
 @query
 def bm25_topk(v: Views) -> DataFrame:
     """R01, R02, T01 over the documents."""
-    hits = search.top(search.bm25(v.v_files.select("id", "path", "content"), X.Query((("anshe",), ("theaea",), ("re", "eroundth"))), ["content"]), 20)
-    return _r(hits.select("id", "path", "bm25"), "bm25")
+    hits = _content_index(v).top(X.Query((("anshe",), ("theaea",), ("re", "eroundth"))), 20).withColumnRenamed("doc", "id")
+    return _r(v.v_files.select("id", "path").join(hits, "id"), "bm25")
+
+
+@query
+def bm25_filtered(v: Views) -> DataFrame:
+    """Names and paths only, filtered by kind and path after the scores,
+    whose statistics are those of the whole index."""
+    scored = _node_index(v).bm25(X.parse_or("steel supplier widget src1"), ["name", "qualified_name", "tokenized_name", "tokenized_qualified_name", "path"])
+    nodes = lookup.filter_nodes(v.v_nodes, v.v_files, kind="function", file_path="src1")
+    return _r(search.top(nodes.join(scored.withColumnRenamed("doc", "id"), "id"), 50).select("id", "name", "path", "bm25"), "bm25")
 
 
 @query
 def bm25_cascade(v: Views) -> DataFrame:
     """R04, X03, X04."""
-    return _r(search.cascade(v.v_files.select("id", "content"), "theaea_re anshe", ["content"], 40).select("id", "bm25"), "bm25")
+    return _r(_content_index(v).cascade("theaea_re anshe", 40).select(F.col("doc").alias("id"), "bm25"), "bm25")
 
 
 @query
@@ -50,9 +90,8 @@ def like_fallback(v: Views) -> DataFrame:
 
 @query
 def hybrid_score(v: Views) -> DataFrame:
-    """R06, R08, A03, A08, X06, X07, X11 over nodes; PageRank of ten steps."""
-    ranks = graph.pagerank(v.v_nodes, v.v_edges, 10, tolerance=None)
-    out = search.hybrid(v.v_nodes, v.v_files, v.v_edges, ranks, "supplier EUROPE module", "explore", 15)
+    """R06, R08, A03, A08, X06, X07, X11 over nodes."""
+    out = search.hybrid(v.v_nodes, v.v_files, v.v_edges, _ranks(v), "supplier EUROPE module", "explore", 15, index=_node_index(v))
     return _r(out.select("id", "name", "path", "score", "cluster_id"), "score")
 
 
@@ -200,7 +239,7 @@ def pagerank_k(v: Views) -> DataFrame:
 @query
 def top_pagerank(v: Views) -> DataFrame:
     """T07."""
-    return _r(graph.top_pagerank(v.v_nodes, graph.pagerank(v.v_nodes, v.v_edges, 10, tolerance=None), 20, "class"), "rank", places=10)
+    return _r(graph.top_pagerank(v.v_nodes, _ranks(v), 20, "class"), "rank", places=10)
 
 
 @query
@@ -296,8 +335,7 @@ def budget_split(v: Views) -> DataFrame:
 @query
 def budget_allocation(v: Views) -> DataFrame:
     """R09, R13 to R16 over the best nodes."""
-    ranks = graph.pagerank(v.v_nodes, v.v_edges, 10, tolerance=None)
-    results = search.hybrid(v.v_nodes, v.v_files, v.v_edges, ranks, "supplier EUROPE module", "explore", 50)
+    results = search.hybrid(v.v_nodes, v.v_files, v.v_edges, _ranks(v), "supplier EUROPE module", "explore", 50, index=_node_index(v))
     return context.context(results, v.v_nodes, v.v_files, v.v_edges, "explore", 8000).drop("content")
 
 
@@ -418,7 +456,7 @@ def env_scan(v: Views) -> DataFrame:
     """Variables and their readers in a file per part."""
     from .operators import extract
 
-    nodes, edges, _ = extract.tables(extract.extract_files(_sources(v)))
+    nodes, edges, _ = extract.tables(keep(extract.extract_files(_sources(v)), "extracted"))
     reads = edges.where("kind = 'reads_env'").groupBy("target_node_id").agg(F.count(F.lit(1)).alias("readers"))
     found = nodes.where("kind = 'env_var'").join(reads, nodes.id == reads.target_node_id, "left")
     return found.groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("readers", F.lit(0))).alias("readers"))
@@ -438,7 +476,7 @@ def symbol_counts(v: Views) -> DataFrame:
     """Nodes by kind and refs by kind."""
     from .operators import extract
 
-    nodes, _, refs = extract.tables(extract.extract_files(_sources(v)))
+    nodes, _, refs = extract.tables(keep(extract.extract_files(_sources(v)), "extracted"))
     return nodes.groupBy(F.lit("node").alias("what"), "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(refs.groupBy(F.lit("ref").alias("what"), F.col("edge_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 
 

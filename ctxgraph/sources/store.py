@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import write_postings
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -30,11 +32,21 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/v{version or self.version()}/{table}")
 
+    def has(self, table: str) -> bool:
+        """Is the table in the committed version?"""
+        path, fs = self._pointer()
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{self.version()}/{table}")
+        return fs.exists(at)
+
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as the next version, then move the pointer."""
+        """Write all tables as the next version, then move the pointer.
+        Postings are written in their buckets."""
         new = self.version() + 1
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v{new}/{name}")
+            if name == "postings":
+                write_postings(df, f"{self.root}/v{new}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{self.root}/v{new}/{name}")
         path, fs = self._pointer()
         out = fs.create(path, True)
         out.writeBytes(f"{new}\n")

@@ -39,15 +39,18 @@ SELECT CAST(2000000 + n_nationkey AS BIGINT) AS source_node_id, CAST(1000000 + n
 UNION ALL
 SELECT 3000000 + s_suppkey, CAST(2000000 + s_nationkey AS BIGINT), 'type_ref', CAST(0.9 AS DOUBLE), CAST(NULL AS VARCHAR(20)) FROM {supplier}
 UNION ALL
-SELECT 3000000 + l_suppkey, 4000000 + l_partkey, 'calls', CAST(0.95 AS DOUBLE) - l_discount, CASE WHEN l_returnflag = 'R' THEN 'loop' WHEN l_returnflag = 'A' THEN 'conditional' END
-FROM {lineitem} WHERE l_linenumber = 1 AND l_quantity >= 45
-UNION ALL
-SELECT 4000000 + l_partkey, 3000000 + l_suppkey, 'imports', CAST(0.95 AS DOUBLE), CAST(NULL AS VARCHAR(20))
-FROM {lineitem} WHERE l_linenumber = 2 AND l_quantity >= 48""",
+SELECT CASE WHEN l_linestatus = 'O' THEN 3000000 + l_suppkey ELSE 4000000 + l_partkey END,
+       CASE WHEN l_linestatus = 'O' THEN 4000000 + l_partkey ELSE 3000000 + l_suppkey END,
+       CASE WHEN l_linestatus = 'O' THEN 'calls' ELSE 'imports' END,
+       CASE WHEN l_linestatus = 'O' THEN CAST(0.95 AS DOUBLE) - l_discount ELSE CAST(0.95 AS DOUBLE) END,
+       CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_returnflag = 'R' THEN 'loop' WHEN l_returnflag = 'A' THEN 'conditional' END END
+FROM {lineitem}""",
     "v_refs": """
-SELECT l.l_orderkey * 10 + l.l_linenumber AS id, 3000000 + l.l_suppkey AS source_node_id, p.p_name AS target_name,
+SELECT (l.l_orderkey * 10 + l.l_linenumber) * 97 + l.nth AS id, 3000000 + l.l_suppkey AS source_node_id, p.p_name AS target_name,
        CASE WHEN l.l_linestatus = 'O' THEN 'calls' ELSE 'type_ref' END AS edge_kind, concat('./', p.p_brand) AS import_path
-FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber = 3 AND l.l_quantity >= 45""",
+FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_linestatus,
+             row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_linestatus) AS nth FROM {lineitem}) l
+JOIN {part} p ON p.p_partkey = l.l_partkey""",
     "v_obs": """
 SELECT conv_id * 100 + turn AS id, conv_id AS session_id, text AS content, role AS headline,
        TIMESTAMP '2024-01-01 00:00:00' + (INTERVAL '1' MINUTE) * CAST(conv_id * 60 + turn * 2 AS INT) AS created_at, turn % 5 = 4 AS is_stale
