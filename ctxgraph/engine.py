@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .plans.index import index
 from .plans.scratch import keep
 from .sources.config import Config
 from .sources.store import Store
+from .sources.workspace import extra_roots, inside
 
 OBSERVATION = "id long, session_id string, content string, headline string, summary string, created_at timestamp, is_stale boolean, stale_reason string, consolidated_into long, anti_pattern string"
 SESSION = "id string, created_at timestamp, updated_at timestamp, compressed boolean, summary string"
@@ -28,8 +30,10 @@ def check(name: str, value, low, high):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, store: str | None = None, config: Config = Config()):
+    def __init__(self, spark: SparkSession, root: str, store: str | None = None, config: Config = Config(), roots: list[str] = ()):
+        """``roots`` are further folders (S10); their files stand behind the folder's name."""
         self.spark, self.root, self.config = spark, root, config
+        self.extra = {Path(r).name: r for r in extra_roots(root, roots)} if roots else None
         self.store = Store(spark, store or f"{root}/{config.store}")
         self.notes = Store(spark, (store or f"{root}/{config.store}") + "-notes")
         self.external: dict[str, Store] = {}
@@ -41,9 +45,15 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
 
-    def trigger_reindex(self, now: str = "1970-01-01 00:00:00") -> dict:
+    def trigger_reindex(self, now: str = "1970-01-01 00:00:00", files: list[str] | None = None, full: bool = False) -> dict:
+        """The files named, which must lie in the workspace, or with
+        ``full`` or without names the whole tree and the extra roots."""
         others = {n: s.read("nodes") for n, s in self.external.items()}
-        return index(self.spark, self.root, self.store, self.config, now, workspaces=others or None)
+        only = None
+        if files is not None and not full:
+            main = Path(self.root).resolve()
+            only = [str(inside(self.root, f).relative_to(main)) for f in files]
+        return index(self.spark, self.root, self.store, self.config, now, self.extra, others or None, only)
 
     def index_status(self) -> DataFrame:
         return lookup.index_status(self.table("files"), self.table("nodes"), self.table("edges"), self.table("refs"))

@@ -1,7 +1,7 @@
 """Indexing a source tree into the next snapshot.
 
-Full and incremental runs are one function: the scan is compared with the
-snapshot, only new and changed files are extracted, rows of changed and vanished
+Full and incremental runs are one function: the listing is compared with the
+snapshot by time and size, only new and changed files are read and extracted, rows of changed and vanished
 files leave with all that hangs on them, and resolution runs over the whole new
 snapshot.  So an incremental run gives the snapshot that a full one would.
 """
@@ -20,14 +20,16 @@ from .scratch import keep
 CONTAINED = ("contains", "reads_env", "defines_api")
 
 
-def compare(scan: DataFrame, files: DataFrame | None) -> DataFrame:
-    """(path, status): new, changed, same or deleted, by content hash."""
-    now = scan.select("path", F.xxhash64("content").alias("now"))
+def compare(now: DataFrame, files: DataFrame | None) -> DataFrame:
+    """(path, status): new, changed, same or deleted, by time and size alone; no
+    content is read."""
+    now = now.select("path", "mtime_ns", "size_bytes")
     if files is None:
         return now.select("path", F.lit("new").alias("status"))
-    old = files.select("path", F.col("content_key").alias("old"))
+    old = files.select("path", F.col("mtime_ns").alias("time"), F.col("size_bytes").alias("size"))
     both = now.join(old, "path", "full_outer")
-    status = F.when(F.col("old").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("now") == F.col("old"), "same").otherwise("changed")
+    alike = (F.col("mtime_ns") == F.col("time")) & (F.col("size_bytes") == F.col("size"))
+    status = F.when(F.col("time").isNull(), "new").when(F.col("mtime_ns").isNull(), "deleted").when(alike, "same").otherwise("changed")
     return both.select("path", status.alias("status"))
 
 
@@ -40,16 +42,34 @@ def _postings(nodes: DataFrame, files: DataFrame, new: dict, old: dict | None, g
     return store.read("postings").join(left, "doc", "left_anti").unionByName(fresh)
 
 
-def index(spark: SparkSession, root: str, store: Store, config: Config = Config(), now: str = "1970-01-01 00:00:00", extra: dict[str, str] | None = None, workspaces: dict[str, DataFrame] | None = None) -> dict:
-    """Index ``root``, commit, and report counts per status."""
-    scan = workspace.scan(spark, root, config, extra).withColumn("id", F.xxhash64("path"))
+def index(spark: SparkSession, root: str, store: Store, config: Config = Config(), now: str = "1970-01-01 00:00:00", extra: dict[str, str] | None = None, workspaces: dict[str, DataFrame] | None = None, only: list[str] | None = None) -> dict:
+    """Index ``root``, commit, and report counts per status.
+
+    With ``only`` (paths below the root) nothing but these is compared; what
+    vanished among them leaves.  A file of another time or size is read; if its
+    content is the same it counts as such, and only its time and size change."""
     version = store.version()
     old = {t: store.read(t) for t in ("files", "nodes", "local_edges", "refs")} if version else None
-    status = keep(compare(scan, old["files"] if old else None), "status")
+    now_there = workspace.known(spark, root, config, extra)
+    before = old["files"].select("path", "mtime_ns", "size_bytes") if old else None
+    if only is not None:
+        paths = spark.createDataFrame([(p,) for p in dict.fromkeys(only)], "path string")
+        now_there = now_there.join(paths, "path", "left_semi")
+        before = before.join(paths, "path", "left_semi") if old else None
+    status = keep(compare(now_there, before), "status")
     counts = {r[0]: r[1] for r in status.groupBy("status").count().collect()}
     if version and not set(counts) - {"same"}:
         return {"version": version, **counts}
-    fresh = keep(scan.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi"), "fresh")
+    wanted = now_there.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
+    fresh = keep(workspace.read(wanted.select("path", "language", "mtime_ns", "size_bytes", "uri")).withColumn("id", F.xxhash64("path")), "fresh")
+    if old:
+        alike = fresh.join(old["files"].select("path", "content_key"), "path").where(F.xxhash64("content") == F.col("content_key"))
+        touched = keep(alike.select("path", F.col("mtime_ns").alias("time"), F.col("size_bytes").alias("size")), "touched")
+        moved = touched.count()
+        fresh, status = (df.join(touched.select("path"), "path", "left_anti") for df in (fresh, status))
+        counts = {"same": 0, **counts, "changed": counts.get("changed", 0)}
+        counts["same"], counts["changed"] = counts["same"] + moved, counts["changed"] - moved
+        counts = {k: n for k, n in counts.items() if n}
     got = keep(extract.extract_files(fresh), "extracted")
     nodes, edges, refs = extract.tables(got)
     files = fresh.join(extract.structure_hash(got), "path", "left").select(
@@ -60,7 +80,8 @@ def index(spark: SparkSession, root: str, store: Store, config: Config = Config(
     if old:
         gone = status.where("status IN ('changed', 'deleted')").select(F.xxhash64("path").alias("id"))
         left = delete_cascade({"files": old["files"], "nodes": old["nodes"], "edges": old["local_edges"], "refs": old["refs"]}, gone)
-        kept = {"files": left["files"], "nodes": left["nodes"], "local_edges": left["edges"], "refs": left["refs"]}
+        stay = left["files"].join(touched, "path", "left").withColumns({"mtime_ns": F.coalesce("time", "mtime_ns"), "size_bytes": F.coalesce("size", "size_bytes")}).drop("time", "size")
+        kept = {"files": stay, "nodes": left["nodes"], "local_edges": left["edges"], "refs": left["refs"]}
         new = {t: keep(kept[t].unionByName(new[t]), t) for t in new}
     else:
         new = {t: keep(df, t) for t, df in new.items()}

@@ -83,10 +83,9 @@ def listing(spark: SparkSession, root: str, config: Config = Config()) -> DataFr
         level = level.repartition("path")
 
 
-def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[str, str] | None = None) -> DataFrame:
-    """(path, language, mtime_ns, size_bytes, content) of the known files
-    under ``root`` and extra roots (prefix -> folder); contents are read in the
-    tasks that use them."""
+def known(spark: SparkSession, root: str, config: Config = Config(), extra: dict[str, str] | None = None) -> DataFrame:
+    """(path, language, mtime_ns, size_bytes, uri) of the known files under
+    ``root`` and extra roots (prefix -> folder)."""
     out = None
     for prefix, folder in {"": root, **{k + "/": v for k, v in (extra or {}).items()}}.items():
         folder = "file://" + str(Path(folder).resolve()) if "://" not in folder else folder
@@ -95,6 +94,11 @@ def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[
         part = part.withColumns({"uri": F.col("path"), "path": F.concat(F.lit(prefix), F.substring("path", cut, 1 << 30))})
         part = part.withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
         out = part if out is None else out.unionByName(part)
+    return out.select("path", "language", "mtime_ns", "size_bytes", "uri")
+
+
+def read(files: DataFrame) -> DataFrame:
+    """``known`` files with their contents instead of the address."""
 
     def run(batches):
         for batch in batches:
@@ -105,7 +109,12 @@ def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[
                     content.append(f.read().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "language", "mtime_ns", "size_bytes")), pa.array(content, pa.string())], names=["path", "language", "mtime_ns", "size_bytes", "content"])
 
-    return out.select("path", "language", "mtime_ns", "size_bytes", "uri").mapInArrow(run, "path string, language string, mtime_ns long, size_bytes long, content string")
+    return files.mapInArrow(run, "path string, language string, mtime_ns long, size_bytes long, content string")
+
+
+def scan(spark: SparkSession, root: str, config: Config = Config(), extra: dict[str, str] | None = None) -> DataFrame:
+    """All known files with contents, which are read in the tasks that use them."""
+    return read(known(spark, root, config, extra))
 
 
 def fingerprint(files: DataFrame) -> str:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxgraph.engine import Engine
+from ctxgraph.functions import text as X
 from ctxgraph.operators.extract import extract
 from ctxgraph.operators.skeleton import skeleton
 from ctxgraph.sources import workspace
@@ -52,12 +53,54 @@ def test_incremental_equals_full(spark, engine, tmp_path):
     assert one.trigger_reindex() == {"version": 2, "same": 2, "changed": 1, "deleted": 1}
     two = Engine(spark, str(root), str(tmp_path / "two"))
     two.trigger_reindex()
-    for t in ("files", "nodes", "edges", "refs"):
+    for t in ("files", "nodes", "edges", "refs", "postings", "corpus"):
         cols = [c for c in one.table(t).columns if c not in ("metadata", "content")]
         a, b = (sorted(map(str, e.table(t).select(*cols).collect())) for e in (one, two))
         assert a == b, t
 
 
+def test_reindex_by_time_names_and_submitted_edges(spark, engine, tmp_path):
+    import os
+    import shutil
+
+    root = tmp_path / "ws"
+    shutil.copytree(engine.root, root)
+    more = tmp_path / "lib"
+    more.mkdir()
+    (more / "z.rs").write_text("pub fn zeta() {}\n")
+    e = Engine(spark, str(root), str(tmp_path / "store"), roots=[str(more)])
+    assert e.trigger_reindex() == {"version": 1, "new": 5} and e.query_nodes("zeta").collect()[0]["path"] == "lib/z.rs"
+    (root / "src/b.rs").write_text(B + "pub fn delta() {}\n")
+    (root / "src/new.rs").write_text("pub fn fresh() {}\n")
+    assert e.trigger_reindex(files=["src/b.rs"]) == {"version": 2, "changed": 1}
+    assert {r["name"] for r in e.table("nodes").collect()} >= {"delta", "zeta"} and not e.table("nodes").where("name = 'fresh'").count()
+    assert e.trigger_reindex(files=["src/b.rs"], full=True) == {"version": 3, "same": 5, "new": 1}
+    os.utime(root / "src/a.rs", ns=(1, 1))  # a new time, the same content
+    assert e.trigger_reindex() == {"version": 4, "same": 6}
+    assert e.table("files").where("path = 'src/a.rs'").first()["mtime_ns"] == 1
+    assert e.trigger_reindex() == {"version": 4, "same": 6}
+    with pytest.raises(ValueError):
+        e.trigger_reindex(files=["../out.rs"])
+    ids = {r["name"]: r["qualified_name"] for r in e.table("nodes").where("qualified_name is not null").collect()}
+    assert e.submit_lsp_edges([{"source": ids["delta"], "target": ids["fresh"], "kind": "calls"}, {"source": "no", "target": "no", "kind": "calls"}]) == {"added": 1, "skipped": 1}
+    has = lambda: e.query_edges("delta").where("source_name = 'delta' AND target_name = 'fresh'").count()
+    assert has() == 1
+    (root / "src/c.rs").write_text("pub fn last() {}\n")
+    assert e.trigger_reindex() == {"version": 6, "same": 6, "new": 1}
+    assert has() == 1 and e.query_nodes("last").collect()[0]["name"] == "last"
+    (root / "src/new.rs").unlink()
+    e.trigger_reindex()
+    assert has() == 0 and e.table("submitted_edges").count() == 0
+
+
+def test_text_statistics_are_the_whole_index(engine):
+    by_kind = {r["id"]: r["name"] for r in engine.query_nodes("alpha beta", kind="function").collect()}
+    assert set(by_kind.values()) == {"alpha", "beta"}
+    scores = engine.text_index().bm25(X.parse_or("alpha"), ["name"])
+    assert {by_kind.get(r["doc"]) for r in scores.collect()} == {"alpha"}
+    assert engine.table("corpus").first()["n"] == engine.table("nodes").count()
+
+
 def test_tools(engine):
     assert [r["name"] for r in engine.query_nodes("beta").collect()][0] == "beta"
     assert {r["name"] for r in engine.query_nodes(kind="struct").collect()} == {"Widget"}

@@ -51,6 +51,30 @@ def test_resolution_confidences(spark):
     assert resolved(spark, [a, b, c], [(9, 1, "helper", "calls", "./c")]) == {9: (3, 0.85)}
 
 
+def test_resolution_equals_all_pairs(spark):
+    """A name that most files export, against candidates looked at one by one."""
+    rng = random.Random(5)
+    kinds = ["function", "struct", "method", None]
+    ns = [{"id": i - 60, "file_id": rng.randint(1, 12), "name": rng.choice(["new", "new", "get", "x"]), "kind": rng.choice(kinds), "is_export": rng.random() < 0.8, "visibility": None} for i in range(120)]
+    fs = [(i, f"src/{'ab'[i % 2]}/{'mod' if i % 3 else 'm'}{i % 4}.rs") for i in range(1, 13)]
+    es = [(rng.choice(ns)["id"], rng.choice(ns)["id"], "imports", 1.0) for _ in range(30)]
+    refs = [(i, rng.choice(ns)["id"], rng.choice(["new", "get", "x", "none"]), rng.choice(["calls", "type_ref", "imports"]), rng.choice([None, "./mod1", "b/m0", "", "nowhere", "./"])) for i in range(200)]
+    by, path = {n["id"]: n for n in ns}, dict(fs)
+    imports = {(by[a]["file_id"], by[b]["file_id"]) for a, b, *_ in es}
+    want = {}
+    for i, s, name, kind, imp in refs:
+        f = by[s]["file_id"]
+        met = [n for n in ns if n["is_export"] and n["name"] == name and n["file_id"] != f]
+        bare = (imp or "").removeprefix("./")
+        best = []
+        for n in met:
+            v = 0.85 if (f, n["file_id"]) in imports else 0.8 if bare and path[n["file_id"]].rsplit(".", 1)[0].endswith(bare) else 0.3 if len(met) > 1 else 0.5
+            best.append((-round(min(v + 0.05, 0.99) if n["kind"] in resolve.PREFERRED.get(kind, ()) else v, 6), n["id"]))
+        if best and -min(best)[0] > 0.3:
+            want[i] = (min(best)[1], -min(best)[0])
+    assert resolved(spark, ns, refs, es, fs) == want and len({v for _, v in want.values()}) >= 4
+
+
 def test_bm25_equals_definition_and_index(spark, tmp_path):
     rng = random.Random(3)
     words = ["ab", "cd", "ef", "gh", "ij"]
