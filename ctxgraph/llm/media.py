@@ -14,9 +14,13 @@ Image pairs with three votes or more are verified with all their descriptors:
 mutual nearest neighbours must agree on one similarity transform (scale, turn,
 shift).  Classes are the components of the verified pairs.
 
+Two images that meet in crowded buckets only, head of neither, have no votes there.
+So once the first classes are known, all pairs of all buckets are counted between
+images of different classes, and what has three votes is verified too: the classes
+are those of all pairs with three votes, as if no bucket were crowded.
+
 Bounds: keypoints are as many as an image has corners, its area sets the limit;
-what is sent per descriptor is 25 bytes a table.  Two images that meet in crowded
-buckets only, head of neither, are found through a third or not at all.
+what is sent per descriptor is 25 bytes a table, then 32 bytes a group of images.
 
 Formats: binary PGM and PPM (P5, P6) of 8 bits; any other, JPEG and PNG too, is
 undecodable.  An image under 23 pixels a side has no keypoints.
@@ -39,11 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, tune
+from .common import Scratch, connected_components, forest, sweep, tune
 
 BITS, RADIUS, LEVELS, RATIO = 128, 6, 5, 1.25
 TABLES, WIDTH, NEAR, FAR, VOTES, INLIERS = 9, 38, 16, 28, 3, 7
 CROWD, PIXELS, SALTS = 16, 1 << 18, 64
+GROUP = 240_000  # descriptors of a group of images that meets others
 EDGE, TURNS, RESPONSE = 10, 64, 0.02  # quarter turns are whole steps
 KEYPOINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("a", "<f4"), ("d", "<u8", 2)])
 
@@ -187,12 +192,16 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     pa_, pb = a["x"][i] + 1j * a["y"][i], b["x"][j] + 1j * b["y"][j]
     # Each pair of matches far enough apart fixes scale and turn better than one corner's orientation.
     step = scale * np.exp(1j * turn)
-    best = 0
-    for k in range(len(i)):
-        for m in (step[k], *((pb - pb[k])[far] / (pa_ - pa_[k])[far] for far in [np.abs(pa_ - pa_[k]).argmax()] if pa_[far] != pa_[k])):
-            if 0.3 < abs(m) < 3.4:
-                best = max(best, int((np.abs(pb[k] + m * (pa_ - pa_[k]) - pb) < 2.5 * max(1.0, abs(m))).sum()))
-    return best
+    apart = pa_ - pa_[:, None]
+    far, k = np.abs(apart).argmax(1), np.arange(len(i))
+    some = apart[k, far] != 0
+    m = np.concatenate([step, (pb[far] - pb)[some] / apart[k, far][some]])
+    k = np.concatenate([k, k[some]])
+    size = np.abs(m)
+    m, k, size = (x[(0.3 < size) & (size < 3.4)] for x in (m, k, size))
+    if not len(m):
+        return 0
+    return int((np.abs(pb[k, None] + m[:, None] * apart[k] - pb) < 2.5 * np.maximum(1.0, size)[:, None]).sum(1).max())
 
 
 # Joins
@@ -394,6 +403,164 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+class _Side:
+    """The images of one side of a meeting: descriptors with their image's place and root."""
+
+    def __init__(self, node: np.ndarray, root: np.ndarray, points: list[np.ndarray]):
+        self.node, self.root, self.points = node, root, points
+        self.size = np.array([len(p) for p in points])
+        self.start = np.cumsum(self.size) - self.size
+        self.all = np.concatenate(points)
+        self.d = np.ascontiguousarray(self.all["d"])
+        self.owner = np.repeat(np.arange(len(points)), self.size)
+
+    def index(self, table: int):
+        """Its buckets of a table: keys, (bucket, root) of each descriptor in order, and that order."""
+        k, inverse = np.unique(keys(self.d, table)[0], return_inverse=True)
+        place = (inverse << 32) | self.root[self.owner]
+        by = np.argsort(place)
+        return k, place[by], by
+
+
+def bucket_votes(one: _Side, rows: slice, two: _Side, index: list, block: int = 1 << 18) -> np.ndarray:
+    """Votes (images of ``one[rows]``, images of ``two``): alike descriptors of all buckets, of a root of
+    their own left out; ``index`` has the buckets of ``two``."""
+    votes = np.zeros((rows.stop - rows.start) * len(two.node), np.int64)
+    begin, end = one.start[rows.start], one.start[rows.stop - 1] + one.size[rows.stop - 1]
+    d, owner = one.d[begin:end], one.owner[begin:end]
+    held, total = [], 0
+    for table, (known, place, by) in enumerate(index):
+        key = keys(d, table)[0]
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        row = np.flatnonzero(known[at] == key)
+        base = at[row] << 32
+        cut = [np.searchsorted(place, x) for x in (base, base | one.root[owner[row]], (base | one.root[owner[row]]) + 1, base + (1 << 32))]
+        row, first, n = np.tile(row, 2), np.concatenate([cut[0], cut[2]]), np.concatenate([cut[1] - cut[0], cut[3] - cut[2]])
+        row, first, n = row[n > 0], first[n > 0], n[n > 0]
+        sums, i = np.cumsum(n), 0
+        while i < len(row):
+            before = sums[i] - n[i]
+            j = max(i + 1, int(np.searchsorted(sums, before + block, "right")))
+            m = n[i:j]
+            a = np.repeat(row[i:j], m)
+            b = by[np.repeat(first[i:j] - (sums[i:j] - m - before), m) + np.arange(m.sum())]
+            near = np.bitwise_count(d[a, 0] ^ two.d[b, 0]) + np.bitwise_count(d[a, 1] ^ two.d[b, 1]) <= NEAR
+            held.append((owner[a[near]] - rows.start) * len(two.node) + two.owner[b[near]])
+            total += len(held[-1])
+            if total > 1 << 22:
+                votes += np.bincount(np.concatenate(held), minlength=len(votes))
+                held, total = [], 0
+            i = j
+    if held:
+        votes += np.bincount(np.concatenate(held), minlength=len(votes))
+    return votes.reshape(-1, len(two.node))
+
+
+def accepted(p: np.ndarray, node: int, two: _Side, others: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """Those of ``others`` (places in ``two``) with INLIERS in :func:`consensus` beside ``p``, the image of
+    the smaller node first; all at once, in blocks."""
+    out, at = [np.empty(0, np.int64)], 0
+    sums = np.cumsum(two.size[others])
+    while at < len(others):
+        before = sums[at] - two.size[others[at]]
+        end = max(at + 1, int(np.searchsorted(sums, before + block // len(p), "right")))
+        few = others[at:end]
+        n = two.size[few]
+        first = np.cumsum(n) - n
+        column, owner = np.repeat(two.start[few] - first, n) + np.arange(n.sum()), np.repeat(np.arange(len(few)), n)
+        d = two.d[column]
+        far = np.bitwise_count(p["d"][:, :1] ^ np.ascontiguousarray(d[:, 0])) + np.bitwise_count(p["d"][:, 1:] ^ np.ascontiguousarray(d[:, 1]))
+        low = np.minimum.reduceat(far, first, axis=1)
+        ranked = ((far.astype(np.uint32) << 16) | np.arange(len(p), dtype=np.uint32)[:, None]).min(0)  # a distance, then its first row
+        own, nearest = ranked >> 16, (ranked & 0xFFFF).astype(np.int64)
+        j = np.flatnonzero((own <= FAR) & (own == low[nearest, owner]))
+        _, once = np.unique(owner[j] * len(p) + nearest[j], return_index=True)  # of equal neighbours the first
+        j = j[once]
+        matches = np.bincount(owner[j], minlength=len(few))
+        j = j[matches[owner[j]] >= INLIERS]
+        out.append(few[_inliers(p[nearest[j]], two.all[column[j]], owner[j], len(few), two.node[few][owner[j]] < node) >= INLIERS])
+        at = end
+    return np.concatenate(out)
+
+
+def _inliers(a: np.ndarray, b: np.ndarray, pair: np.ndarray, pairs: int, swap: np.ndarray) -> np.ndarray:
+    """Per pair of images the matches that agree on the best transform, as in :func:`consensus`: ``a`` and
+    ``b`` are the matched keypoints in order of ``pair``, the other way round where ``swap`` is set."""
+    best = np.zeros(pairs, np.int64)
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    count = np.bincount(pair, minlength=pairs)
+    begin = np.repeat(np.cumsum(count) - count, count)
+    n = count[pair]  # matches of the pair of each match
+    step = b["s"] / a["s"] * np.exp(1j * (b["a"] - a["a"]))
+    pa_, pb = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
+    sums, at = np.cumsum(n), 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(sums, sums[at] - n[at] + (1 << 18), "right")))
+        m = n[at:end]
+        start = np.cumsum(m) - m
+        k = np.repeat(np.arange(at, end), m)
+        i = np.repeat(begin[at:end] - start, m) + np.arange(m.sum())
+        apart, moved = pa_[i] - pa_[k], pb[i] - pb[k]
+        wide = apart.real**2 + apart.imag**2
+        most = np.maximum.reduceat(wide, start)
+        far = i[np.minimum.reduceat(np.where(wide == np.repeat(most, m), np.arange(len(i)), len(i)), start)]
+        own = np.arange(at, end)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turned = np.where(most > 0, (pb[far] - pb[own]) / (pa_[far] - pa_[own]), 0)
+        for by in (step[at:end], turned):
+            size = np.abs(by)
+            off = np.repeat(by, m) * apart - moved
+            agree = np.add.reduceat((off.real**2 + off.imag**2 < np.repeat((2.5 * np.maximum(1.0, size)) ** 2, m)).astype(np.int32), start)
+            np.maximum.at(best, pair[at:end], np.where((0.3 < size) & (size < 3.4), agree, 0))
+        at = end
+    return best
+
+
+def remaining(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join images of different roots: all pairs with VOTES votes or more, every
+    pair of every bucket counted, crowded or not.
+
+    The images are dealt into groups and each pair of groups meets in a task, so that the votes of two images
+    are counted in one place, some images at a time, and never written; a task returns a spanning forest."""
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "points")
+    total = rooted.agg(F.sum(F.octet_length("points"))).first()[0] or 0
+    groups = max(4, -(-total // (KEYPOINT.itemsize * GROUP)))
+    dealt = rooted.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = dealt.withColumn("part", F.expr("cast(greatest(g, h) * (greatest(g, h) + 1) / 2 + least(g, h) as int)"))
+
+    def meet(batches):
+        got: list[list] = [[], [], [], [], []]
+        for batch in batches:
+            for out, name in zip(got[:4], ("node", "root", "g", "h")):
+                out.append(batch.column(name).to_numpy(zero_copy_only=False))
+            got[4] += [np.frombuffer(x.as_buffer().to_pybytes(), KEYPOINT) for x in batch.column("points")]
+        if not got[4]:
+            return
+        node, root, g, h = map(np.concatenate, got[:4])
+        _, root = np.unique(root, return_inverse=True)
+        sides = [_Side(node[x], root[x], [got[4][i] for i in x]) for x in (np.flatnonzero(g <= h), np.flatnonzero(g >= h)) if len(x)]
+        if len(sides) < 2:
+            return
+        one, two = sides
+        index = [two.index(t) for t in range(TABLES)]
+        links_a, links_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        step = max(1, (1 << 20) // len(two.node))
+        for at in range(0, len(one.node), step):
+            rows = slice(at, min(len(one.node), at + step))
+            votes = bucket_votes(one, rows, two, index)
+            for i, row in enumerate(votes, at):
+                others = np.flatnonzero(row >= VOTES)
+                if g[0] == h[0]:
+                    others = others[others > i]  # a group with itself: both sides have one order
+                if len(others):
+                    hit = two.node[accepted(one.points[i], one.node[i], two, others)]
+                    links_a, links_b = np.append(links_a, np.full(len(hit), one.node[i])), np.append(links_b, hit)
+            links_a, links_b = forest(links_a, links_b) if len(links_a) else (links_a, links_b)
+        yield pa.RecordBatch.from_arrays([pa.array(links_a), pa.array(links_b)], names=["a", "b"])
+
+    return dealt.repartitionById(groups * (groups + 1) // 2, F.col("part")).select("node", "root", "g", "h", "points").mapInArrow(meet, "a long, b long")
+
+
 def copies(images: DataFrame, key: str = "media_id", media: str = "media", load=None) -> DataFrame:
     """key, n_keypoints and class_id (the class's smallest key) of every row;
     ``load`` as in :func:`features`."""
@@ -405,6 +572,10 @@ def copies(images: DataFrame, key: str = "media_id", media: str = "media", load=
     nodes = scratch.keep(rows.where("n_keypoints > 0").join(groups.select("node"), F.col("__uid") == F.col("node"), "left_semi").select(F.col("__uid").alias("node"), "points"))
     links = scratch.keep(verified(scratch.keep(candidates(nodes)), nodes))
     roots = scratch.keep(connected_components(links, scratch))
+    sweep(images.sparkSession)
+    more = scratch.keep(remaining(nodes, roots))
+    if not more.isEmpty():
+        roots = scratch.keep(connected_components(links.unionByName(more), scratch))
     name = groups.select("node", "low").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("class_id"))
     named = groups.join(roots, "node", "left").select("__digest", F.coalesce("root", "node").alias("root")).join(name, "root").select(F.col("__digest").alias("__of"), "class_id")
     named = scratch.keep(named)  # a table of its own, so that a hot digest's rows can be split

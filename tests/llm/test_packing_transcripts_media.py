@@ -269,3 +269,57 @@ def test_candidates_keep_nine_in_ten_of_what_verification_accepts(spark):
         for kind in {name for *_, name in accepted}:
             own = [(a, b) in found for a, b, name in accepted if name == kind]
             assert np.mean(own) >= (0.7 if (side, kind) == (64, "scale 0.75") else 0.9), (side, kind, np.mean(own))
+
+
+def test_a_crowd_of_look_alikes_hides_no_copies(spark, monkeypatch):
+    """Copies that meet in crowded buckets only, head of neither."""
+    rng = np.random.default_rng(4)
+    points = np.zeros(14, media.KEYPOINT)
+    points["d"] = rng.integers(0, 2**63, (14, 2), np.uint64)
+    points["s"], points["x"], points["y"] = 1, rng.uniform(0, 90, 14), rng.uniform(0, 90, 14)
+    others = []
+    for _ in range(2 * media.CROWD):  # the same corners in layouts of their own
+        other = points.copy()
+        other["x"], other["y"], other["a"] = rng.uniform(0, 90, 14), rng.uniform(0, 90, 14), rng.uniform(-3, 3, 14)
+        others.append(other)
+    moved = points.copy()
+    moved["x"] += 5
+    images = [*others, points, moved]
+    n = len(images)
+    rows = [(i, bytes([i]), len(p), p.tobytes()) for i, p in enumerate(images)]
+    found = spark.createDataFrame(rows, "media_id long, digest binary, n_keypoints long, points binary").coalesce(1)
+    monkeypatch.setattr(media, "features", lambda images, key, name: found)
+    assert {r["media_id"]: r["class_id"] for r in media.copies(found).collect()} == {i: min(i, n - 2) for i in range(n)}
+
+
+def test_pairs_of_all_buckets_are_counted_and_verified(spark):
+    rng = np.random.default_rng(9)
+    pictures = [media.describe(media.picture(rng.normal(size=32))[None])[0] for _ in range(60)]
+    for p in list(pictures[:20]):
+        copy = p[rng.permutation(len(p))[: len(p) * 3 // 4]].copy()
+        copy["x"] += 3
+        pictures.append(copy)
+    pictures = [p for p in pictures if len(p)]
+    n, root = len(pictures), np.arange(len(pictures)) // 2
+    side = media._Side(np.arange(n), root, pictures)
+    index = [side.index(t) for t in range(media.TABLES)]
+    for block in (7, 1 << 18):
+        votes = media.bucket_votes(side, slice(0, n), side, index, block)
+        want = np.zeros((n, n), np.int64)
+        key = media.keys(side.d)
+        for i in range(len(side.d)):
+            near = media._distance(side.d[i], side.d) <= media.NEAR
+            np.add.at(want[side.owner[i]], side.owner, ((key[:, i, None] == key) & near & (root[side.owner[i]] != root[side.owner])).sum(0))
+        assert (votes == want).all()
+    for i in range(0, n, 9):
+        others = np.delete(np.arange(n), i)
+        got = media.accepted(pictures[i], i, side, others, 1 << 12).tolist()
+        assert got == [j for j in others if media.consensus(pictures[min(i, j)], pictures[max(i, j)]) >= media.INLIERS]
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(pictures)], "node long, points binary")
+    found = media.remaining(nodes, spark.createDataFrame([], "node long, root long")).collect()
+    alone = media._Side(np.arange(n), np.arange(n), pictures)
+    votes = media.bucket_votes(alone, slice(0, n), alone, [alone.index(t) for t in range(media.TABLES)])
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if votes[i, j] >= media.VOTES and media.consensus(pictures[i], pictures[j]) >= media.INLIERS]
+    want = media.forest(*np.array(pairs).T)
+    got = media.forest(np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+    assert len(pairs) >= 15 and all((x == y).all() for x, y in zip(got, want))
