@@ -42,6 +42,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 STAGE_WORDS, SIMILARITY, STAGE_RADIUS, BANDS, ROWS = 5, 0.8, 24, 20, 4
 #: Texts of a band that are compared all with all; parts of a crowded key.
 CROWD, _SALTS = 16, 8
+#: Texts from which the frequency of shingles is learned.
+_SAMPLE = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -278,6 +280,47 @@ def _similar(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _prefix_pairs(nodes: DataFrame, shingles: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """``nodes(node, root)`` -> pairs (a, b) of different roots, all that have that similarity among them.
+
+    A prefix join: with the shingles of every text in one order, two such texts share a shingle among
+    the first ``n - similarity * n`` of each (and one), and what follows the first that they share is long
+    enough for the overlap.  Any order is right; frequent shingles come last so that few texts meet.  How
+    frequent they are is learned from ``_SAMPLE`` texts, all of them are indexed."""
+    sample = shingles.join(nodes.orderBy(F.xxhash64("node")).limit(_SAMPLE).select("node"), "node", "left_semi")
+    often = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(_SAMPLE * 16).collect()
+    often = sorted((r["s"], r["count"]) for r in often)
+    known, count = (np.array([x[i] for x in often], np.int64) for i in (0, 1))
+
+    def prefixes(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for node, root, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = values.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                seen = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    seen = np.where(known[at] == s, count[at], 0)
+                keep = len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+                first = s[np.lexsort(((s * 0x9E3779B1) & 0xFFFFFFFF, seen))[:keep]]
+                for x, v in zip(out, (np.full(len(first), node), np.full(len(first), root), np.full(len(first), len(s)), np.arange(len(first)), first)):
+                    x.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["node", "root", "n", "pos", "s"])
+
+    wanted = nodes.join(shingles, "node").select("node", "root", "shingles")
+    postings = scratch.keep(wanted.mapInArrow(prefixes, "node long, root long, n long, pos long, s long"))
+    # Only shingles of several classes go on, in parts where very many texts have them.
+    lists = postings.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    met = scratch.keep(postings.join(lists.select("s", F.expr("least(m div 256 + 1, 64)").alias("parts")), "s"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos")]
+    left = met.select("s", F.expr("pmod(xxhash64(node), parts)").alias("salt"), F.col("node").alias("a"), *side("a"))
+    right = met.select("s", F.explode(F.expr("sequence(0L, parts - 1)")).alias("salt"), F.col("node").alias("b"), *side("b"))
+    least = similarity / (1 + similarity)
+    enough = F.least(F.expr("a_n - a_pos"), F.expr("b_n - b_pos")) >= least * (F.col("a_n") + F.col("b_n")) - 1e-6
+    return left.join(right, ["s", "salt"]).where((F.col("a_root") < F.col("b_root")) & enough).select("a", "b").distinct()
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """key, raw (digest of the text) and root of every row: rows share a root if
     links of ``similarity`` or more between their sets of shingles join them.
@@ -291,8 +334,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     No group is compared all with all.  In each band every text is compared with the
     leader of another class, the one that shares the most bands with others (the text
     that a crowd was copied from shares more than the copies do), in rounds until no
-    round finds a link.  Bands of at most ``CROWD`` texts are then compared in full; of
-    a larger band, only links of which neither end leads in any band can be missed."""
+    round finds a link.  What is left, bands of texts of several classes, is compared in
+    full: all with all in bands of at most ``CROWD`` texts, and the texts of all larger
+    bands by ``_prefix_pairs``, which loses no pair."""
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     marked = scratch.keep(_marked(docs, key, text, words).withColumn("uid", F.monotonically_increasing_id()), "zstd")
     # Rows of equal words are one node from here on, named by one of its rows.
@@ -350,11 +394,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         scratch.release(before)
 
     scratch.release(shared)
-    small = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(f"lo < hi AND n <= {CROWD}").select("band")
-    left = scratch.keep(rooted.join(small, "band", "left_semi").select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root")))
+    sizes = scratch.keep(rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi"))
+    left = scratch.keep(rooted.join(sizes.where(f"n <= {CROWD}"), "band", "left_semi").select("band", F.col("node").alias("b"), F.col("fp").alias("b_fp"), F.col("root").alias("b_root")))
     right = left.select("band", F.col("b").alias("a"), F.col("b_fp").alias("a_fp"), F.col("b_root").alias("a_root"))
-    more = left.join(right, "band").where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b").distinct()
-    found = scratch.keep(_similar(scratch.keep(more.join(tested, ["a", "b"], "left_anti")), shingles, similarity))
+    more = left.join(right, "band").where((F.col("a_root") < F.col("b_root")) & near("a_fp", "b_fp")).select("a", "b")
+    crowded = scratch.keep(rooted.join(sizes.where(f"n > {CROWD}"), "band", "left_semi").select("node", "root").distinct())
+    if not crowded.isEmpty():
+        more = more.unionByName(_prefix_pairs(crowded, shingles, similarity, scratch))
+    found = scratch.keep(_similar(scratch.keep(more.distinct().join(tested, ["a", "b"], "left_anti")), shingles, similarity))
     if not found.isEmpty():
         roots = components(links.unionByName(found))
     name = names.join(roots, "node", "left").select(F.col("same").alias("__same"), F.coalesce("root", "node").alias("root"))

@@ -196,3 +196,25 @@ def test_length_bounds(spark, documents):
     for length in (31, 88, 100):
         with pytest.raises(ValueError):
             suffix.dedup(documents(rows), length=length)
+
+
+def test_crowded_bands_lose_no_link(spark, documents):
+    """Pairs of near copies in a crowd of texts like neither: some meet in crowded bands only."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.random()}"
+    common = [word() for _ in range(240)]
+    rows = []
+    for i in range(300):
+        own = list(common)
+        for at in rng.sample(range(240), 5):
+            own[at] = word()
+        twin = list(own)
+        for at in rng.sample(range(240), 5):
+            twin[at] = word()
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(twin))]
+    groups = similar([t for _, t in rows])
+    assert len(groups) == 300
+    got: dict = {}
+    for r in simhash.similar_groups(documents(rows)).collect():
+        got.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
