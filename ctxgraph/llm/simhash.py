@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, forest, tune
+from .common import Scratch, connected_components, forest, sweep, tune
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Of the grouping by similarity: shingle words, least similarity, bits apart at most, bands and their minima.
@@ -342,9 +342,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     # Rows of equal words are one node from here on, named by one of its rows.
     names = scratch.keep(marked.groupBy("same").agg(F.min("uid").alias("node")))
     rows = scratch.keep(marked.select(key, "raw", "same"))
-    nodes = marked.join(names.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "fp", "bands", "shingles")
+    # The shingles, most of the bytes, are dealt anew once only, below.
+    nodes = marked.select(F.col("uid").alias("node"), "fp", "bands").join(names.select("node"), "node", "left_semi")
     nodes = scratch.keep(nodes, "zstd")
-    scratch.release(marked)
     entries = nodes.select("node", "fp", F.explode("bands").alias("band"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
     every = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
@@ -356,8 +356,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     meetings = shared.groupBy("node").agg(F.sum("n").alias("pop"))
     met_once, shared = shared, scratch.keep(shared.join(meetings, "node").drop("n"))
     scratch.release(met_once)
-    shingles = scratch.keep(nodes.select("node", "shingles").join(scratch.keep(shared.select("node").distinct()), "node", "left_semi"), "zstd")
     scratch.release(nodes)
+    meeting = scratch.keep(shared.select("node").distinct())
+    shingles = scratch.keep(marked.select(F.col("uid").alias("node"), "shingles").join(meeting, "node", "left_semi"), "zstd")
+    scratch.release(marked, meeting)
+    sweep(docs.sparkSession)
 
     def components(edges: DataFrame) -> DataFrame:
         own = Scratch(docs.sparkSession, "similar-roots")
@@ -392,6 +395,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
             break
         before, roots = roots, components(links)
         scratch.release(before)
+        sweep(docs.sparkSession)
 
     scratch.release(shared)
     sizes = scratch.keep(rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi"))
