@@ -403,6 +403,11 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _place(points: np.ndarray) -> np.ndarray:
+    """(x, y, s, a) of keypoints, a row each."""
+    return np.stack([points[f] for f in "xysa"])
+
+
 class _Side:
     """The images of one side of a meeting: descriptors with their image's place and root."""
 
@@ -412,6 +417,8 @@ class _Side:
         self.start = np.cumsum(self.size) - self.size
         self.all = np.concatenate(points)
         self.d = np.ascontiguousarray(self.all["d"])
+        self.words = np.ascontiguousarray(self.d.T)
+        self.place = _place(self.all)
         self.owner = np.repeat(np.arange(len(points)), self.size)
 
     def index(self, table: int):
@@ -456,63 +463,110 @@ def bucket_votes(one: _Side, rows: slice, two: _Side, index: list, block: int =
     return votes.reshape(-1, len(two.node))
 
 
-def accepted(p: np.ndarray, node: int, two: _Side, others: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """Those of ``others`` (places in ``two``) with INLIERS in :func:`consensus` beside ``p``, the image of
-    the smaller node first; all at once, in blocks."""
-    out, at = [np.empty(0, np.int64)], 0
-    sums = np.cumsum(two.size[others])
-    while at < len(others):
-        before = sums[at] - two.size[others[at]]
-        end = max(at + 1, int(np.searchsorted(sums, before + block // len(p), "right")))
-        few = others[at:end]
-        n = two.size[few]
-        first = np.cumsum(n) - n
-        column, owner = np.repeat(two.start[few] - first, n) + np.arange(n.sum()), np.repeat(np.arange(len(few)), n)
-        d = two.d[column]
-        far = np.bitwise_count(p["d"][:, :1] ^ np.ascontiguousarray(d[:, 0])) + np.bitwise_count(p["d"][:, 1:] ^ np.ascontiguousarray(d[:, 1]))
-        low = np.minimum.reduceat(far, first, axis=1)
-        ranked = ((far.astype(np.uint32) << 16) | np.arange(len(p), dtype=np.uint32)[:, None]).min(0)  # a distance, then its first row
-        own, nearest = ranked >> 16, (ranked & 0xFFFF).astype(np.int64)
-        j = np.flatnonzero((own <= FAR) & (own == low[nearest, owner]))
-        _, once = np.unique(owner[j] * len(p) + nearest[j], return_index=True)  # of equal neighbours the first
-        j = j[once]
-        matches = np.bincount(owner[j], minlength=len(few))
-        j = j[matches[owner[j]] >= INLIERS]
-        out.append(few[_inliers(p[nearest[j]], two.all[column[j]], owner[j], len(few), two.node[few][owner[j]] < node) >= INLIERS])
-        at = end
-    return np.concatenate(out)
+@lru_cache(1)
+def _space(n: int, kind: type) -> tuple[np.ndarray, ...]:
+    """Memory for ``n`` distances, made once: fresh memory for each block costs more than the distances."""
+    return np.empty(n, np.uint64), *np.empty((2, n), np.uint8), *np.empty((2, n), kind)
 
 
-def _inliers(a: np.ndarray, b: np.ndarray, pair: np.ndarray, pairs: int, swap: np.ndarray) -> np.ndarray:
+def accepted(p: np.ndarray, node: int, two: _Side, others: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """Those of ``others`` (places in ``two``) with INLIERS in :func:`consensus` beside ``p``, the image of
+    the smaller node first."""
+    return np.sort(np.concatenate([b for _, b in linked([(0, p, node, others)], two, block)]))
+
+
+def linked(rows, two: _Side, block: int = 1 << 19):
+    """``rows`` of (place, keypoints, node, others) -> (places, others) as in :func:`accepted`, a share at a
+    time: the transforms of many images are tried together."""
+    held, pairs = [], 0
+    for at, p, node, others in rows:
+        for few, i, j, pair in _matches(p, two, others, block):
+            held.append((np.full(len(few), at), few, two.node[few] < node, _place(p).take(i, 1), j, pair + pairs))
+            pairs += len(few)
+            if pairs >= 1 << 13:
+                yield _agreeing(held, two)
+                held, pairs = [], 0
+    yield _agreeing(held, two) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _agreeing(held: list, two: _Side) -> tuple[np.ndarray, np.ndarray]:
+    at, few, swap, mine, j, pair = (np.concatenate(x, -1) for x in zip(*held))
+    hit = _inliers(mine, two.place.take(j, 1), pair, len(few), swap[pair]) >= INLIERS
+    return at[hit], few[hit]
+
+
+def _matches(p: np.ndarray, two: _Side, others: np.ndarray, block: int):
+    """(others, row of ``p``, column of ``two``, place in others) of the mutual nearest neighbours, for those
+    with INLIERS of them; many at once, images of like size in a block whose last axis they are."""
+    if not len(others):
+        return
+    others = others[np.argsort(two.size[others], kind="stable")]
+    most = int(two.size[others[-1]])
+    kind, shift = (np.uint16, 8) if max(len(p), most) <= 256 else (np.uint32, 24)
+    row, mask = np.arange(len(p), dtype=kind)[:, None], kind((1 << shift) - 1)
+    step = max(1, block // (len(p) * most))
+    for few in np.array_split(others, -(-len(others) // step)):
+        width, each = np.arange(two.size[few[-1]])[:, None], np.arange(len(few))
+        column = two.start[few] + np.minimum(width, two.size[few] - 1)  # the last one again is never the first nearest
+        apart, far, more, ranked, key = (x[: len(p) * column.size].reshape(len(p), -1) for x in _space(max(block, len(p) * column.size), kind))
+        for word, count in enumerate((far, more)):
+            np.bitwise_xor(p["d"][:, word, None], two.words[word].take(column.reshape(-1)), out=apart)
+            np.bitwise_count(apart, out=count)
+        far += more
+        np.multiply(far, kind(1 << shift), out=ranked, dtype=kind)  # a distance, then its first row or column
+        nearest = (np.bitwise_or(ranked, row, out=key).min(0) & mask).reshape(column.shape)
+        ranked, key = (x.reshape(len(p), *column.shape) for x in (ranked, key))
+        own = np.bitwise_or(ranked, width.astype(kind), out=key).min(1)
+        partner = (own & mask).astype(np.int64)
+        match = ((own >> kind(shift)) <= FAR) & (nearest[partner, each] == row)
+        enough = np.flatnonzero(match.sum(0) >= INLIERS)
+        pair, i = np.nonzero(match.T[enough])
+        if len(enough):
+            yield few[enough], i, column[partner[i, enough[pair]], enough[pair]], pair
+
+
+def _inliers(a: np.ndarray, b: np.ndarray, pair: np.ndarray, pairs: int, swap: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     """Per pair of images the matches that agree on the best transform, as in :func:`consensus`: ``a`` and
-    ``b`` are the matched keypoints in order of ``pair``, the other way round where ``swap`` is set."""
+    ``b`` are the places of the matched keypoints in order of ``pair``, the other way round where ``swap`` is
+    set.  Pairs with about as many matches are tried together, one match of each at a time; what fills up a pair
+    is NaN, which agrees with nothing."""
     best = np.zeros(pairs, np.int64)
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    (ax, ay, asize, aturn), (bx, by, bsize, bturn) = np.where(swap, b, a), np.where(swap, a, b)
+    size, turn = bsize / asize, bturn - aturn
+    values = [ax, ay, bx, by, size * np.cos(turn), size * np.sin(turn)]
     count = np.bincount(pair, minlength=pairs)
-    begin = np.repeat(np.cumsum(count) - count, count)
-    n = count[pair]  # matches of the pair of each match
-    step = b["s"] / a["s"] * np.exp(1j * (b["a"] - a["a"]))
-    pa_, pb = a["x"] + 1j * a["y"], b["x"] + 1j * b["y"]
-    sums, at = np.cumsum(n), 0
-    while at < len(a):
-        end = max(at + 1, int(np.searchsorted(sums, sums[at] - n[at] + (1 << 18), "right")))
-        m = n[at:end]
-        start = np.cumsum(m) - m
-        k = np.repeat(np.arange(at, end), m)
-        i = np.repeat(begin[at:end] - start, m) + np.arange(m.sum())
-        apart, moved = pa_[i] - pa_[k], pb[i] - pb[k]
-        wide = apart.real**2 + apart.imag**2
-        most = np.maximum.reduceat(wide, start)
-        far = i[np.minimum.reduceat(np.where(wide == np.repeat(most, m), np.arange(len(i)), len(i)), start)]
-        own = np.arange(at, end)
+    begin, order, at = np.cumsum(count) - count, np.argsort(count, kind="stable"), int((count < INLIERS).sum())
+    while at < pairs:
+        few = order[at : at + max(1, block // int(count[order[at]]))]
+        at += len(few)
+        place = np.arange(count[few[-1]])[:, None]
+        real, index = place < count[few], begin[few] + np.minimum(place, count[few] - 1)
+        x, y, u, v, *step = (np.where(real, value[index], np.float32(np.nan)) for value in values)
+        most, far = np.zeros_like(x), np.zeros(x.shape, np.int64)
+        for i in range(len(x)):
+            wide = (x[i] - x) ** 2 + (y[i] - y) ** 2
+            wider = wide > most
+            np.copyto(most, wide, where=wider)
+            np.copyto(far, i, where=wider)
+        dx, dy, du, dv = (np.take_along_axis(z, far, 0) - z for z in (x, y, u, v))
         with np.errstate(divide="ignore", invalid="ignore"):
-            turned = np.where(most > 0, (pb[far] - pb[own]) / (pa_[far] - pa_[own]), 0)
-        for by in (step[at:end], turned):
-            size = np.abs(by)
-            off = np.repeat(by, m) * apart - moved
-            agree = np.add.reduceat((off.real**2 + off.imag**2 < np.repeat((2.5 * np.maximum(1.0, size)) ** 2, m)).astype(np.int32), start)
-            np.maximum.at(best, pair[at:end], np.where((0.3 < size) & (size < 3.4), agree, 0))
-        at = end
+            re, im = np.stack([step[0], (du * dx + dv * dy) / most]), np.stack([step[1], (dv * dx - du * dy) / most])
+            size = np.hypot(re, im)
+            near = np.where((0.3 < size) & (size < 3.4), (2.5 * np.maximum(1, size)) ** 2, np.float32(np.nan))
+            agree, off, also, by = np.zeros(re.shape, np.uint8 if len(x) < 256 else np.uint32), *np.empty((3, *re.shape), np.float32)
+            for i in range(len(x)):
+                dx, dy = x[i] - x, y[i] - y
+                np.multiply(re, dx, out=off)
+                off -= np.multiply(im, dy, out=by)
+                off -= u[i] - u
+                np.multiply(re, dy, out=also)
+                also += np.multiply(im, dx, out=by)
+                also -= v[i] - v
+                off *= off
+                also *= also
+                off += also
+                agree += (off < near).view(np.uint8)
+        best[few] = agree.max((0, 1))
     return best
 
 
@@ -543,19 +597,21 @@ def remaining(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             return
         one, two = sides
         index = [two.index(t) for t in range(TABLES)]
-        links_a, links_b = np.empty(0, np.int64), np.empty(0, np.int64)
         step = max(1, (1 << 20) // len(two.node))
-        for at in range(0, len(one.node), step):
-            rows = slice(at, min(len(one.node), at + step))
-            votes = bucket_votes(one, rows, two, index)
-            for i, row in enumerate(votes, at):
-                others = np.flatnonzero(row >= VOTES)
-                if g[0] == h[0]:
-                    others = others[others > i]  # a group with itself: both sides have one order
-                if len(others):
-                    hit = two.node[accepted(one.points[i], one.node[i], two, others)]
-                    links_a, links_b = np.append(links_a, np.full(len(hit), one.node[i])), np.append(links_b, hit)
-            links_a, links_b = forest(links_a, links_b) if len(links_a) else (links_a, links_b)
+
+        def voted():
+            for at in range(0, len(one.node), step):
+                for i, row in enumerate(bucket_votes(one, slice(at, min(len(one.node), at + step)), two, index), at):
+                    others = np.flatnonzero(row >= VOTES)
+                    if g[0] == h[0]:
+                        others = others[others > i]  # a group with itself: both sides have one order
+                    if len(others):
+                        yield i, one.points[i], one.node[i], others
+
+        links_a, links_b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for a, b in linked(voted(), two):
+            if len(a):
+                links_a, links_b = forest(np.append(links_a, one.node[a]), np.append(links_b, two.node[b]))
         yield pa.RecordBatch.from_arrays([pa.array(links_a), pa.array(links_b)], names=["a", "b"])
 
     return dealt.repartitionById(groups * (groups + 1) // 2, F.col("part")).select("node", "root", "g", "h", "points").mapInArrow(meet, "a long, b long")

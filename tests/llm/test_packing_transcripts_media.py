@@ -323,3 +323,34 @@ def test_pairs_of_all_buckets_are_counted_and_verified(spark):
     want = media.forest(*np.array(pairs).T)
     got = media.forest(np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
     assert len(pairs) >= 15 and all((x == y).all() for x, y in zip(got, want))
+
+
+def test_transforms_of_many_images_are_tried_together_and_equal_neighbours_are_as_in_consensus(monkeypatch):
+    rng = np.random.default_rng(5)
+    layout, words, pictures = rng.uniform(0, 90, (2, 14)), rng.integers(0, 2**63, (14, 2), np.uint64), []
+    for _ in range(40):  # descriptors that an image has twice, and many equal distances
+        n = int(rng.integers(10, 15))
+        p = np.zeros(n, media.KEYPOINT)
+        p["d"], p["s"] = words[np.where(rng.random(n) < 0.4, rng.integers(0, 14, n), np.arange(n))], 1
+        p["d"][:, 0] ^= np.uint64(1) << rng.integers(0, 2, n).astype(np.uint64)
+        p["x"], p["y"] = layout[:, :n] + rng.normal(0, 1, (2, n))
+        pictures.append(p)
+    n, calls, tried = len(pictures), [], media._inliers
+    side = media._Side(np.arange(n), np.arange(n), pictures)
+    monkeypatch.setattr(media, "_inliers", lambda *args: calls.append(1) or tried(*args))
+    got = [(int(i), int(j)) for a, b in media.linked(((i, pictures[i], i, np.delete(np.arange(n), i)) for i in range(n)), side) for i, j in zip(a, b)]
+    assert len(calls) == 1
+    alone = [(i, int(j)) for i in range(n) for j in media.accepted(pictures[i], i, side, np.delete(np.arange(n), i), 1 << 10)]
+    want = [(i, j) for i in range(n) for j in range(n) if i != j and media.consensus(pictures[min(i, j)], pictures[max(i, j)]) >= media.INLIERS]
+    assert sorted(got) == alone == want and 0 < len(want) < n * (n - 1)
+
+
+def test_a_descriptor_whose_first_nearest_is_taken_has_no_match():
+    rng = np.random.default_rng(6)
+    p = np.zeros(7, media.KEYPOINT)
+    p["d"], p["s"], p["x"], p["y"] = rng.integers(0, 2**63, (7, 2), np.uint64), 1, rng.uniform(0, 90, 7), rng.uniform(0, 90, 7)
+    q = p.copy()
+    q["d"][0], q["d"][1] = p["d"][1] ^ np.uint64([1, 0]), p["d"][1] ^ np.uint64([2, 0])  # both one bit from p's second
+    p["d"][0] = q["d"][0] ^ np.uint64([4, 0])  # as near to q's first, and before p's second
+    assert max(media.consensus(p, q), media.consensus(q, p)) < media.INLIERS  # six matches
+    assert media.accepted(p, 0, media._Side(np.array([1]), np.array([1]), [q]), np.array([0])).tolist() == []
