@@ -177,15 +177,33 @@ def missing_skeletons(files: DataFrame, level: str) -> DataFrame:
     return files.where(F.col(f"skeleton_{level}").isNull())
 
 
+def _shift(c: Column, k: Column) -> Column:
+    return F.call_function("shiftright", c.cast("bigint"), k)
+
+
 def enclosing_nodes(places: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of each (id, file_id, line) the innermost node around the line.
 
-    The file is the equi key; the range is checked on its nodes, and the
-    smallest wins (ties: smallest node id)."""
-    n = nodes.select(F.col("file_id"), F.col("id").alias("node_id"), "line_start", "line_end")
-    hit = places.join(n, "file_id").where((F.col("line_start") <= F.col("line")) & (F.col("line") <= F.col("line_end")))
-    best = F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "node_id"))
-    return hit.groupBy("id", "file_id", "line").agg(best["node_id"].alias("node_id"))
+    The smallest span wins (ties: smallest node id).  Nodes and lines of a file
+    never meet as pairs: a node's lines are cut into aligned blocks of 2^level
+    lines, two a level at most, and each block keeps its best node; a line is in
+    one block a level, so the (file, line)s that are asked for, once each, look
+    up as many blocks as there are levels."""
+    n = nodes.where("line_start <= line_end AND file_id IS NOT NULL").select("file_id", F.col("line_start").cast("bigint").alias("a"), F.col("line_end").cast("bigint").alias("b"), F.col("id").alias("node_id"))
+    n = n.groupBy("file_id", "a", "b").agg(F.min("node_id").alias("node_id"))
+    # The blocks of level k lie between low, a / 2^k rounded up, and high, (b + 1) / 2^k rounded down.
+    top = F.floor(F.log2((F.col("b") - F.col("a") + 1).cast("double"))).cast("int")
+    at = n.withColumn("level", F.explode(F.sequence(F.lit(0), top)))
+    at = at.withColumns({"low": -_shift(-F.col("a"), F.col("level")), "high": _shift(F.col("b") + 1, F.col("level"))}).where("low < high")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    ends = F.filter(F.array(F.when(odd("low"), F.col("low")), F.when(odd("high"), F.col("high") - 1)), lambda x: x.isNotNull())
+    best = lambda span: F.min(F.struct(span.alias("span"), F.col("node_id").alias("node_id"))).alias("best")
+    blocks = at.select("file_id", "level", F.explode(ends).alias("block"), (F.col("b") - F.col("a")).alias("span"), "node_id").groupBy("file_id", "level", "block").agg(best(F.col("span")))
+    levels = n.agg(F.coalesce(F.max(top), F.lit(0)).alias("top"))  # one row
+    lines = places.where("line IS NOT NULL").select("file_id", "line").distinct().crossJoin(F.broadcast(levels)).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    lines = lines.select("file_id", "line", "level", _shift(F.col("line"), F.col("level")).alias("block"))
+    found = lines.join(blocks, ["file_id", "level", "block"]).groupBy("file_id", "line").agg(F.min("best")["node_id"].alias("node_id"))
+    return places.select("id", "file_id", "line").distinct().join(found, ["file_id", "line"]).select("id", "file_id", "line", "node_id")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:

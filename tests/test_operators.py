@@ -130,6 +130,37 @@ def test_impact_and_paths(spark):
     assert {r["id"] for r in graph.bridges(ed, spark.createDataFrame([(4,)], "id long")).collect()} == {1, 2, 3, 5}
 
 
+def most_rows(df):
+    """The most rows that a step of the plan gave while ``df`` was collected."""
+    def walk(plan):
+        own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+        kids = plan.children()
+        return max([own, *(walk(kids.apply(i)) for i in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_enclosing_meets_no_pairs(spark):
+    """A file of many nodes that many places ask for, against all pairs."""
+    rng = random.Random(7)
+    ns = [{"id": i, "name": "n", "file_id": rng.choice([1, 1, 1, 2, None]), "line_start": a, "line_end": a + rng.choice([-2, 0, 1, 3, 40, 400])} for i in range(600) for a in [rng.randint(-30, 500)]]
+    ns.append({"id": 900, "name": "n", "line_start": None})
+    ps = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(-60, 900)])) for i in range(900)]
+    want = {}
+    for i, f, line in ps:
+        hit = [(n["line_end"] - n["line_start"], n["id"]) for n in ns[:-1] if f is not None and line is not None and n["file_id"] == f and n["line_start"] <= line <= n["line_end"]]
+        if hit:
+            want[i] = min(hit)[1]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = lookup.enclosing_nodes(spark.createDataFrame(ps, "id long, file_id long, line long"), nodes(spark, ns))
+        assert {r["id"]: r["node_id"] for r in df.collect()} == want and len(want) > 300
+        assert most_rows(df) < 15000  # the pairs of a file are over 100,000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_enclosing_and_touching(spark):
     ns = nodes(spark, [{"id": 1, "name": "a", "line_start": 1, "line_end": 50}, {"id": 2, "name": "b", "line_start": 10, "line_end": 20}, {"id": 3, "name": "c", "line_start": 10, "line_end": 20}])
     places = spark.createDataFrame([(7, 1, 15), (8, 1, 40), (9, 1, 60)], "id long, file_id long, line long")
