@@ -98,18 +98,30 @@ def path_bonus(query: str, path: Column) -> Column:
     return sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0)) / F.lit(float(len(terms)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: the variable of a lambda
+    holds it, where a plain column would be computed for each element of an
+    array that the body walks over."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trigrams(c: Column) -> Column:
     """Distinct character triples of the lower-cased text; the text itself
-    if it is shorter."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(F.char_length(low) < 3, F.array(low)).otherwise(F.array_distinct(each))
+    if it is shorter.  One pass: a substring would count from the start again."""
+    def triples(chars: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(chars) - 2), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1)))
+        return F.when(F.size(chars) < 3, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(each))
+
+    return _let(F.split(F.lower(F.coalesce(c, F.lit(""))), ""), triples)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Two empty sets are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    def share(pair: Column) -> Column:
+        union = F.size(F.array_union(pair[0], pair[1]))
+        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(pair[0], pair[1])) / union)
+
+    return _let(F.array(a, b), share)
 
 
 def headline(c: Column, most: int = 80) -> Column:

@@ -1,5 +1,7 @@
 """Exact values of the text functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def test_trigrams_and_jaccard(spark):
     assert [round(r[0], 4) for r in df.select(X.jaccard(F.col("a"), F.col("b"))).collect()] == [1.0, 0.3333]
 
 
+def test_trigrams_of_a_long_text(spark):
+    """One pass over the text; a pass for each triple would take minutes."""
+    assert one(spark, "A😀bÉ\n", X.trigrams) == ["a😀b", "😀bé", "bé\n"] and one(spark, "", X.trigrams) == [""]
+    text = "".join(f"Word{i} of é " for i in range(25000))
+    low, begin = text.lower(), time.monotonic()
+    df = spark.createDataFrame([(text, text[1000:])], "a string, b string")
+    got = df.select(X.jaccard(X.trigrams(F.col("a")), X.trigrams(F.col("b")))).first()[0]
+    a, b = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (low, low[1000:]))
+    assert got == pytest.approx(len(a & b) / len(a | b)) and time.monotonic() - begin < 30
+
+
 def test_headline_and_symbols(spark):
     assert one(spark, "x" * 100 + "\nmore", X.headline) == "x" * 77 + "..."
     assert one(spark, "See `GraphEngine` and get_node, crate::graph. The This fooBar Foo_Bar", X.symbol_candidates) == ["See", "GraphEngine", "get_node", "crate::graph", "Foo_Bar"]
