@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...plans.scratch import deal
 from . import c_family, markup, python_lang, rust, typescript
 from .records import Extracted
 
@@ -48,7 +49,7 @@ def extract_files(files: DataFrame) -> DataFrame:
                 rows.append((path, json.dumps(got.nodes), json.dumps(got.edges), json.dumps(got.refs)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["path", "nodes", "edges", "refs"])
 
-    raw = files.select("path", "language", "content").mapInArrow(run, RAW)
+    raw = deal(files.select("path", "language", "content")).mapInArrow(run, RAW)
     return raw.select("path", F.from_json("nodes", NODE).alias("nodes"), F.from_json("edges", EDGE).alias("edges"), F.from_json("refs", REF).alias("refs"))
 
 

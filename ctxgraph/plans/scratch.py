@@ -36,3 +36,9 @@ def drop(kept: DataFrame) -> None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         if root.split(":", 1)[-1].strip("/") in name:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def deal(files: DataFrame, key: str = "path") -> DataFrame:
+    """``files`` over as many tasks as a shuffle has: a small table comes as one
+    part or a few, and what follows costs far more than its reading."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -251,3 +251,13 @@ def test_shared_and_cross(spark):
     refs = spark.createDataFrame([(9, 1, "T", "type_ref", None), (8, 1, "zz", "calls", None)], "id long, source_node_id long, target_name string, edge_kind string, import_path string")
     got = resolve.resolve_cross_workspace(refs, {"w1": ns, "w2": ns}).collect()
     assert sorted((r["ref_id"], r["target_workspace"], r["target_qualified_name"], r["confidence"]) for r in got) == [(9, "w1", "T", 0.7), (9, "w2", "T", 0.7)]
+
+
+def test_files_are_dealt_before_they_are_parsed(spark):
+    """A table that is read as one part is parsed by more tasks than one."""
+    from ctxgraph.operators import extract
+    from ctxgraph.operators.skeleton import skeletons
+
+    df = spark.createDataFrame([(f"src/{i}.py", "python", f"def f{i}():\n    pass\n") for i in range(40)], "path string, language string, content string").coalesce(1)
+    for out in (extract.extract_files(df), skeletons(df)):
+        assert out.rdd.getNumPartitions() == 4 and out.select("path").distinct().count() == 40
