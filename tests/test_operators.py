@@ -261,3 +261,14 @@ def test_files_are_dealt_before_they_are_parsed(spark):
     df = spark.createDataFrame([(f"src/{i}.py", "python", f"def f{i}():\n    pass\n") for i in range(40)], "path string, language string, content string").coalesce(1)
     for out in (extract.extract_files(df), skeletons(df)):
         assert out.rdd.getNumPartitions() == 4 and out.select("path").distinct().count() == 40
+
+
+def test_postings_are_counted_where_their_document_is(spark, monkeypatch):
+    """One exchange, by document, of more parts the more text there is."""
+    df = spark.createDataFrame([(i, f"ab cd ab w{i}") for i in range(50)], "id long, t string")
+    monkeypatch.setattr(search, "PART_BYTES", 50)
+    kept = search.postings(df, ["t"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc") == plan.count("Exchange") == 1
+    total = sum(len(f"ab cd ab w{i}") for i in range(50))
+    assert kept.rdd.getNumPartitions() == -(-total // 50) and kept.where("term = 'ab' AND tf = 2").count() == 50
